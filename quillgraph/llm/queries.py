@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mixing, secrets, token_files
+from . import byte_bpe, mixing, quality_rules, secrets, token_files
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_mix_sources": mixing.op4_mix_sources,
