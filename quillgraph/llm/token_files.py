@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -38,11 +39,10 @@ from .byte_bpe import blocks
 from .common import shared_dir, table
 
 END_ID = 2
-#: Words whose ids a Python worker keeps before it starts anew.
-CACHE = 400_000
+#: Words whose ids a Python worker keeps in each of two generations: words met again outlive a change.
+CACHE = 300_000
 _HEADER = "<8sIIQQQQQ"
 _MAGIC = b"QGTOKEN1"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NULL = -(1 << 63)
 
 
@@ -162,18 +162,24 @@ class WordIds:
 
         self.tok = Tokenizer.from_str(spec.decode())
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_WORD.findall(t) for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]  # bytes split at ASCII white space
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         new = list(set().union(*split).difference(self.cache))
+        if self.older:
+            old = list(map(self.older.get, new))
+            self.cache.update((w, x) for w, x in zip(new, old, strict=True) if x is not None)
+            new = [w for w, x in zip(new, old, strict=True) if x is None]
+        code = "H" if self.type.itemsize == 2 else "I"
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for w, e in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, dtype=self.type).tobytes()
+            for w, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.cache[w] = array(code, e.ids).tobytes()
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
@@ -210,10 +216,10 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
                 fs, at = opened(folder)
                 fs.create_dir(at, recursive=True)
                 out, tail = fs.open_output_stream(f"{at}/{name}"), np.array([end_id], own.type).tobytes()
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
             keys += [_NULL if k is None else k for k in batch.column(0).to_pylist()]
             for a, b in blocks(texts):
-                for raw in own.encode([t or "" for t in texts[a:b]]):
+                for raw in own.encode([t or b"" for t in texts[a:b]]):
                     out.write(raw + tail)
                     counts.append((len(raw) + len(tail)) // own.type.itemsize)
         if out is None:
@@ -257,7 +263,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     cols = [keys, (shard.offsets[part] + row["start"]).tolist(), (shard.offsets[np.array(part) + 1] - shard.offsets[part]).tolist(), crc]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=schema.names)
 
-    spread = starts.select("name", "start").repartition(F.col("name"))
+    # A number of partitions of its own, else AQE joins these few rows, of little size, in one task.
+    spread = starts.select("name", "start").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
     return spread.mapInArrow(run, schema)
 
 
