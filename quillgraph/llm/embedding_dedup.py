@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, table
-from .graph_components import components
+from .graph_components import components, local_roots
 
 COSINE = 0.93
 TABLES, WIDE, WIDTH = 10, 5, 1.5
@@ -60,21 +60,6 @@ def coded(vectors: DataFrame, dim: int, tables: int, wide: int, width: float, se
     return vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, schema)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest position reachable from each of n by links a-b."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
 def compared(rows: DataFrame, least: float) -> DataFrame:
     """From (g, t, side, rep, n, unit, codes), a group's rows together: (rep, links, root)."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("rep", "links", "root")])

@@ -7,6 +7,7 @@ folder, so no lineage grows and nothing is collected. A node of many links is on
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +27,18 @@ def components(links: DataFrame) -> DataFrame:
         if new.where("component <> was").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position reachable from each of n by links a-b."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root

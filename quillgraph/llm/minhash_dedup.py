@@ -6,11 +6,13 @@
    out (at 0.85 that is five standard deviations below the mean, a chance of 2e-7 for a pair). Two signatures
    that agree in MATCHES places share one of any COORDS - MATCHES + 1 of their coordinates, if both choose by one order:
    so each posts only that prefix, rarest coordinate values first. Values shared by many (common passages) are skipped.
-3. Round one links every document of a posting list with the list's smallest only. Agreement is counted on one byte for each
-   coordinate (never too low), then the full sets are compared. Round two takes lists that still hold several components
-   and pairs documents of different components only. So a group of near copies costs its size, not its square, and no
-   link between different components is lost.
-4. Components by hooking and pointer jumping; smallest doc_id reachable.
+3. Agreement is counted on four bits of each coordinate (never too low). Round one compares every document of a posting list with
+   the list's smallest only; components of the pairs that agree are candidate groups. Round two takes lists that still hold
+   several groups and joins documents of different groups that agree, and merges those groups. So any two documents that agree
+   are in one group, and a group costs its size in rows, not its square.
+4. Each group's full sets meet in one task and are compared there, whole, by their incidence matrix; large groups are dealt into
+   blocks of `BLOCK` documents, and every pair of blocks is a task's work of its own. Only links to a block's local root leave it.
+5. Components of these by hooking and pointer jumping; smallest doc_id reachable.
 
 Everything is joined and aggregated; hot posting lists are a skewed join that adaptive execution splits. Only the table of
 coordinate frequencies, 2 ** `FREQUENCY_BITS` numbers, comes to the driver. Intermediate tables lie in the shared folder.
@@ -21,18 +23,22 @@ part and is kept. Extra columns aren't used; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .graph_components import components
+from .graph_components import components, local_roots
 
 SHINGLE, COORDS, MATCHES = 5, 128, 88
 PERCENT = 85
 FREQUENCY_BITS = 17
+#: Documents of a group compared at once with as many others.
+BLOCK = 256
 CACHE = 300_000
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(21).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,64 +152,112 @@ def posted(reps: DataFrame, often: np.ndarray) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "token long, rep long")
 
 
-def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) that agree in MATCHES coordinates or more, by one byte of each."""
-    both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+SKETCH = [f"s{i}" for i in range(COORDS * 4 // 64)]
+
+
+def sketched(reps: DataFrame) -> DataFrame:
+    """(rep, n, s0, s1, ...): four bits of every coordinate, bit planes of 64 coordinates in a long each."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COORDS) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= MATCHES))
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u4").reshape(-1, COORDS)
+                planes = [np.packbits((sig >> np.uint32(k)) & np.uint32(1), axis=1).view("<i8") for k in range(4)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), *(pa.array(np.ascontiguousarray(x[:, i])) for x in planes for i in range(COORDS // 64))], names=["rep", "n", *SKETCH])
+
+    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, " + ", ".join(f"{c} long" for c in SKETCH))
+
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def side(sketches: DataFrame, name: str) -> DataFrame:
+    return sketches.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in SKETCH])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    near = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+def agree(percent: int) -> Column:
+    """Whether a and b agree in MATCHES coordinates at least, and their sizes allow the similarity."""
+    words = COORDS // 64
+    differ = [F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in SKETCH]
+    off = sum(F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), differ[i::words])) for i in range(words))
+    return (off <= COORDS - MATCHES) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+
+def grouped(post: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(rep, component): candidate groups of two or more representatives."""
+    lead = post.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("token", "a")
+    first = stored(post.join(lead, "token").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    like = stored(first.join(side(sketches, "b"), "b").join(side(sketches, "a"), "a").where(agree(percent)).select("a", "b"))
+    label = components(like).select(F.col("id").alias("rep"), "component")
+    marked = post.join(label, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
+    split = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    some = stored(marked.join(split, "token").join(sketches, "rep"))
+    left, right = (some.select("token", F.col("component").alias(f"c_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH]) for x in ("a", "b"))
+    more = stored(left.join(right, "token").where(F.expr("a < b and c_a <> c_b") & agree(percent)).select("a", "b").distinct())
+    return components(like.unionByName(more)).select(F.col("id").alias("rep"), "component")
+
+
+def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None) -> list[int]:
+    """For each set the position of its local root, by links between all pairs (of different sides, if given)."""
+    n = np.array([len(x) for x in sets])
+    if len(sets) < 5:
+        common = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in sets] for x in sets])
+    else:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = times[at] > 1  # a shingle of one set alone is in no intersection
+        _, at = np.unique(at[keep], return_inverse=True)
+        owner = owner[keep]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for a in range(0, int(at.max(initial=-1)) + 1, 8192):
+            part = (at >= a) & (at < a + 8192)
+            x = np.zeros((len(sets), 8192), np.float32)
+            x[owner[part], at[part] - a] = 1
+            common += x @ x.T
+    near = 100 * common >= percent * (n[:, None] + n[None] - common)
+    if sides is not None:
+        near &= sides[:, None] != sides[None]
+    np.fill_diagonal(near, False)
+    return local_roots(len(sets), *np.nonzero(near)).tolist()
+
+
+def confirmed(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), on full sets, that have the components of all pairs of a group with 100 * intersection >= percent * union."""
+    spark = docs.sparkSession
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = groups.join(sizes, "component").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt, "rep")
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.xxhash64("component", F.least("side", "other"), F.greatest("side", "other"))
+    texts = texts.select(group.alias("g"), "rep", "text", "side", (F.col("side") != F.col("other")).alias("split"))
 
     def run(batches):
-        own, last, left = Hasher(), None, None
+        own, g, reps, sets, sides, split = Hasher(), None, [], [], [], False
+
+        def links():
+            root = linked(sets, percent, np.array(sides) if split else None) if len(sets) > 1 else [0]
+            found = [(reps[r], reps[i]) for i, r in enumerate(root) if r != i]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            keep = []
-            for a, ta, tb in zip(*(batch.column(c).cast(pa.binary()) if c != "a" else batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
-                if (now := (a, ta.as_py())) != last:
-                    last, left = now, own.shingles(now[1])
-                right = own.shingles(tb.as_py())
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for k, rep, text, s, two in zip(*(batch.column(c).cast(pa.binary()) if c == "text" else batch.column(c).to_pylist() for c in ("g", "rep", "text", "side", "split")), strict=True):
+                if k != g:
+                    yield links()
+                    g, reps, sets, sides, split = k, [], [], [], two
+                reps.append(rep)
+                sides.append(s)
+                sets.append(own.shingles(text.as_py()))
+        yield links()
 
-    return near.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(n, "g").sortWithinPartitions("g", "rep").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs (doc_id, text)."""
     rows = stored(signed(docs))
-    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     reps = stored(classes)
-    sketch = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))
-    sketches = reps.select("rep", sketch.alias("sketch")).dropDuplicates(["rep"])
     post = stored(posted(reps, frequencies(reps)))
-    lead = post.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("token", "a")
-    first = stored(post.join(lead, "token").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
-    like = stored(agreeing(first, sketches))
-    ids = like.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
-    links = stored(confirmed(like, texts, percent))
-    label = components(links).select(F.col("id").alias("rep"), F.col("component"))
-    # Round two: posting lists of several components.
-    marked = post.join(label, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    split = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    some = stored(marked.join(split, "token"))
-    right = some.select("token", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = some.withColumnRenamed("rep", "a").join(right, "token").where("a < b and component <> cb").select("a", "b").distinct()
-    like = stored(agreeing(pairs.join(first, ["a", "b"], "left_anti"), sketches))
-    ids = like.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
-    more = stored(confirmed(like, texts, percent))
-    label = components(links.unionByName(more)).select(F.col("id").alias("rep"), "component")
+    groups = stored(grouped(post, stored(sketched(reps)), percent))
+    label = components(confirmed(docs, groups, percent)).select(F.col("id").alias("rep"), "component")
     whole = reps.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -44,6 +44,8 @@ CACHE = 300_000
 _HEADER = "<8sIIQQQQQ"
 _MAGIC = b"QGTOKEN1"
 _NULL = -(1 << 63)
+#: The tokenizer's pieces of a lower-case ASCII word.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -162,12 +164,16 @@ class WordIds:
 
         self.tok = Tokenizer.from_str(spec.decode())
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tok.get_vocab()
+        self.end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes split at ASCII white space
+        # Bytes split at ASCII white space. The tokenizer lowers case itself; special tokens are matched before it does.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
         new = list(set().union(*split).difference(self.cache))
@@ -175,14 +181,31 @@ class WordIds:
             old = list(map(self.older.get, new))
             self.cache.update((w, x) for w, x in zip(new, old, strict=True) if x is not None)
             new = [w for w, x in zip(new, old, strict=True) if x is None]
-        code = "H" if self.type.itemsize == 2 else "I"
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = array(code, e.ids).tobytes()
+        for i in range(0, len(new), 16_384):
+            self.cache.update(self.encoded(new[i : i + 16_384]))
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. Plain ASCII words go to the library many at a time: each ends with the last of its pieces, and every piece's last id is an end."""
+        code, out = "H" if self.type.itemsize == 2 else "I", {}
+        plain = [w for w in words if w.isascii() and b"<|" not in w]
+        for i in range(0, len(plain), 64 * 256):
+            part = plain[i : i + 64 * 256]
+            lines = [part[k : k + 64] for k in range(0, len(part), 64)]
+            pieces = [len(_PIECE.findall(w.lower())) for w in part]
+            ids = np.concatenate([np.array(e.ids, dtype=np.int64) for e in self.batch([b" ".join(x).decode() for x in lines], add_special_tokens=False)])
+            ends = np.flatnonzero(self.end[ids]) + 1
+            if len(ends) != sum(pieces):
+                break
+            at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])] * self.type.itemsize
+            raw, at = ids.astype(self.type).tobytes(), at.tolist()
+            out.update((w, raw[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+        rest = [w for w in words if w not in out]
+        for w, e in zip(rest, self.batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            out[w] = array(code, e.ids).tobytes()
+        return out
+
 
 def word_ids(spec: bytes) -> WordIds:
     import os
