@@ -51,3 +51,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(n.lower())
         out.append(n)
     return out
+
+
+#: Bits of the map that tells which keys a table can't hold.
+MAP_BITS = 1 << 21
+
+
+def maybe_in(keys: DataFrame, column: str, key: Column | str) -> Column:
+    """False only where no row of keys has `key` in `column`: a map of MAP_BITS hashed bits, whatever the size of keys.
+
+    It lets a join shuffle few rows where keys are few; where they are many it fills up, and the join does all.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    p = keys.select(place(F.col(column)).alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
+    found = {r.w: r.bits for r in p.collect()}
+    words = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(MAP_BITS // 64))), ",").cast("array<bigint>")
+    at = place(F.col(key) if isinstance(key, str) else key)
+    return F.getbit(F.get(words, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import maybe_in, stored, table
 from .graph_components import components, local_roots
 
 SHINGLE, COORDS, MATCHES = 5, 128, 88
@@ -223,7 +223,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = groups.join(sizes, "component").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt, "rep")
+    texts = docs.where(maybe_in(groups, "rep", "doc_id")).select(F.col("doc_id").alias("rep"), "text").join(dealt, "rep")
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     group = F.xxhash64("component", F.least("side", "other"), F.greatest("side", "other"))
     texts = texts.select(group.alias("g"), "rep", "text", "side", (F.col("side") != F.col("other")).alias("split"))
@@ -267,7 +267,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without documents whose component has a smaller one."""
     found = stored(near_duplicates(docs))
-    out = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(found.where("not kept").select("doc_id"))
+    maybe = maybe_in(gone, "doc_id", "doc_id")
+    out = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns))
     twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
