@@ -81,13 +81,14 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = nodes.join(real, ["k", "node"], "left_anti").select("k", "tree", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("depth"))
     for i, step in reversed(list(enumerate(levels))):
         step = step.select("k", F.col("node").alias("at"), "up", "s")
-        leaves = leaves.join(step, ["k", "at"], "left").select("k", "tree", "leaf", F.coalesce("up", "at").alias("at"), (F.col("sum") + F.coalesce("s", F.lit(0.0))).alias("sum"), (F.col("depth") + F.when(F.col("up").isNull(), 0).otherwise(1 << i)).alias("depth"))
+        leaves = stored(leaves.join(step, ["k", "at"], "left").select("k", "tree", "leaf", F.coalesce("up", "at").alias("at"), (F.col("sum") + F.coalesce("s", F.lit(0.0))).alias("sum"), (F.col("depth") + F.when(F.col("up").isNull(), 0).otherwise(1 << i)).alias("depth")))
     leaves = leaves.join(nodes.select("k", F.col("node").alias("at"), "s"), ["k", "at"]).withColumn("score", F.col("sum") + F.col("s"))
     best = leaves.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy(F.col("score").desc(), "leaf"))).where(F.col("rank") <= branches)
     best = stored(best.select("k", "tree", "leaf", "score", "depth"))
     members = best.select("k", "leaf", F.col("leaf").alias("node"), "depth")
     for i, step in reversed(list(enumerate(levels))):
-        members = members.unionByName(members.join(step.select("k", "node", "up"), ["k", "node"]).select("k", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << i)).alias("depth")))
+        further = members.join(step.select("k", "node", "up"), ["k", "node"]).select("k", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << i)).alias("depth"))
+        members = stored(members.unionByName(further))  # else the plan would double with each level
     said = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("")).alias("k"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = members.join(said, ["k", "node"]).groupBy("k", "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     return best.join(turns, ["k", "leaf"]).select("tree", "leaf", "score", "turns")
