@@ -4,7 +4,7 @@ Each task splits whole texts into the pattern's matches, takes the distinct ones
 and folds the ranked merges over all of them at once: a matrix of byte tokens, a row for each
 word, loses the lowest-ranked adjacent pair of every row in each step until no pair has a rank.
 The rank map is a literal (the vocabulary file's bytes travel with the plan). Decoding joins
-the binary pieces of the ids. No shuffle; memory is bounded by a cache of `CACHE` words.
+the binary pieces of the ids. No shuffle; memory is bounded by a cache of 2 * `CACHE` words.
 
 `encode_words_native` folds the merges with Spark's higher-order functions over a table of distinct
 words. It gives the same ids, but to bring them back to the documents every occurrence has to be
@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import mapped, table
 
-#: Words whose ids a Python worker keeps before it starts anew.
-CACHE = 300_000
+#: Words whose ids a Python worker keeps in each of two generations: words met again outlive a change.
+CACHE = 50_000
+#: Cells of the matrix that is folded at once.
+CELLS = 1 << 17
 #: Pieces of more bytes merge one by one with a heap.
 LONG = 48
 _NONE = np.int64(1 << 40)
@@ -61,10 +63,10 @@ class Coder:
                 a, b = self.rank.get(t[:i]), self.rank.get(t[i:])
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = r
-        self.pair = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.to = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self.find = splitter().findall
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -73,6 +75,11 @@ class Coder:
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[at] == k, self.to[at], _NONE)
 
+    def ranked(self, left: int, right: int) -> int | None:
+        k = left << 20 | right
+        at = int(np.searchsorted(self.keys, k))
+        return int(self.to[at]) if at < len(self.keys) and self.keys[at] == k else None
+
     def fold(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words of about one length (at most LONG bytes)."""
         n, width = len(words), max(map(len, words))
@@ -107,7 +114,8 @@ class Coder:
         """Ids of a piece of any length: a heap of ranked pairs over a linked list."""
         ids = self.byte[np.frombuffer(word, dtype=np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := self.pair.get(a << 20 | b)) is not None]
+        ranks = self.joined(np.array(ids[:-1], dtype=np.int64), np.array(ids[1:], dtype=np.int64)).tolist()
+        heap = [(r, i, a, b) for i, (r, a, b) in enumerate(zip(ranks, ids, ids[1:], strict=False)) if r < _NONE]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -118,7 +126,7 @@ class Coder:
             if after[i] < len(ids):
                 before[after[i]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < len(ids) and (s := self.pair.get(ids[p] << 20 | ids[q])) is not None:
+                if p >= 0 and q < len(ids) and (s := self.ranked(ids[p], ids[q])) is not None:
                     heapq.heappush(heap, (s, p, ids[p], ids[q]))
         return [x for x in ids if x >= 0]
 
@@ -133,9 +141,10 @@ class Coder:
                 out[i] = self.fold_long(w)
             elif w:
                 groups.setdefault(-(-len(w) // 4), []).append(i)
-        for at in groups.values():
-            for s in range(0, len(at), 65536):
-                part = at[s : s + 65536]
+        for width, at in groups.items():
+            step = CELLS // (4 * width)
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
                 for i, ids in zip(part, self.fold([raw[i] for i in part]), strict=True):
                     out[i] = ids
         return out
@@ -147,8 +156,11 @@ class Coder:
         """For each text its pieces' (ids as b" 1 2", bytes decoded from the ids)."""
         pieces = [self.find(t) for t in texts]
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         new = list(set().union(*pieces).difference(self.cache))
+        old = [self.older.get(w) for w in new]
+        self.cache.update((w, x) for w, x in zip(new, old, strict=True) if x)
+        new = [w for w, x in zip(new, old, strict=True) if not x]
         for w, ids in zip(new, self.encode_words(new), strict=True):
             self.cache[w] = ("".join(f" {i}" for i in ids).encode(), self.decode(ids))
         get = self.cache.__getitem__
@@ -171,7 +183,7 @@ def rank_file(path: str | None = None) -> bytes:
         return f.read()
 
 
-def blocks(texts: list[str | None], most: int = 1 << 22):
+def blocks(texts: list[str | None], most: int = 1 << 19):
     """(start, end) of runs of texts of about most characters."""
     start = n = 0
     for i, t in enumerate(texts):
@@ -209,8 +221,9 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
                     at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(every) if every else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        own.cache, own.older = {}, {}  # workers outlive the stage; what it kept is not for the next one's budget
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return mapped(docs.select(*kept, "text"), run, schema)
 
 
 def encode_words_native(words: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import mapped, stored, table
 
 TURN = re.compile(r"<s>\[([^\]]*)\]([^<]*)</s>")
 _OUT = {"\\\\": "\\", "\\l": "<", "\\b": "[", "\\e": "]"}
@@ -103,7 +103,7 @@ def format_paths(chosen: DataFrame) -> DataFrame:
             cols = [batch.column(c) for c in ("tree", "leaf", "score")] + [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays(cols, names=["tree", "leaf", "score", "formatted", "loss"])
 
-    return chosen.mapInArrow(run, "tree long, leaf long, score double, formatted string, loss array<array<int>>")
+    return mapped(chosen, run, "tree long, leaf long, score double, formatted string, loss array<array<int>>")
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def read_back(conversations: DataFrame) -> DataFrame:
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return conversations.mapInArrow(run, schema)
+    return mapped(conversations, run, schema)
 
 
 def threads(conversations: DataFrame) -> DataFrame:

@@ -53,6 +53,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of 1,000 rows, where the session has no number of its own: texts may be long, and workers are small."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS) == "10000":  # Spark's default
+        conf.set(_ROWS, "1000")
+    return df.mapInArrow(run, schema)
+
+
 #: Bits of the map that tells which keys a table can't hold.
 MAP_BITS = 1 << 21
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import mapped, stored, table
 from .graph_components import components, local_roots
 
 COSINE = 0.93
@@ -57,7 +57,7 @@ def coded(vectors: DataFrame, dim: int, tables: int, wide: int, width: float, se
                 names=["vec_id", "label", "unit", "codes"],
             )
 
-    return vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, schema)
+    return mapped(vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding"), run, schema)
 
 
 def compared(rows: DataFrame, least: float) -> DataFrame:

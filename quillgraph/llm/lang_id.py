@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import blocks
-from .common import table
+from .common import mapped, table
 
 STEPS, HIDDEN = 64, 8
 #: Of the training sample: texts of each language, and characters of each, at most.
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in blocks(texts, 1 << 21):
+            for a, b in blocks(texts):
                 has = [bool(t and net and _LETTER.search(t)) for t in texts[a:b]]
                 p = net.probabilities([t.encode() for t, h in zip(texts[a:b], has, strict=True) if h]) if any(has) else None
                 best = iter([] if p is None else zip(p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True))
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 cols = [pa.array([net.langs[k] if k >= 0 else "und" for k, _ in found], pa.string()), pa.array([min(1.0, q) for _, q in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in kept] + cols, names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return mapped(docs.select(*kept), run, schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

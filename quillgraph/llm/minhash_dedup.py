@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, stored, table
+from .common import mapped, maybe_in, stored, table
 from .graph_components import components, local_roots
 
 SHINGLE, COORDS, MATCHES = 5, 128, 88
@@ -39,7 +39,7 @@ PERCENT = 85
 FREQUENCY_BITS = 17
 #: Documents of a group compared at once with as many others.
 BLOCK = 256
-CACHE = 300_000
+CACHE = 60_000
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(21).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -106,7 +106,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 sig.append(signature(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def tokens(batch: pa.RecordBatch) -> np.ndarray:
@@ -130,7 +130,7 @@ def frequencies(reps: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["b", "n"])
 
     out = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    for r in reps.select("sig").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+    for r in mapped(reps.select("sig"), run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
         out[r.b] = r.n
     return out
 
@@ -149,7 +149,7 @@ def posted(reps: DataFrame, often: np.ndarray) -> DataFrame:
             rep = np.repeat(batch.column("rep").to_numpy(), most)
             yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(t, order, 1).ravel().view(np.int64)), pa.array(rep)], names=["token", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "token long, rep long")
+    return mapped(reps.select("rep", "sig"), run, "token long, rep long")
 
 
 SKETCH = [f"s{i}" for i in range(COORDS * 4 // 64)]
@@ -165,7 +165,7 @@ def sketched(reps: DataFrame) -> DataFrame:
                 planes = [np.packbits((sig >> np.uint32(k)) & np.uint32(1), axis=1).view("<i8") for k in range(4)]
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), *(pa.array(np.ascontiguousarray(x[:, i])) for x in planes for i in range(COORDS // 64))], names=["rep", "n", *SKETCH])
 
-    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return mapped(reps.select("rep", "n", "sig"), run, "rep long, n long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def side(sketches: DataFrame, name: str) -> DataFrame:
@@ -247,7 +247,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         yield links()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(n, "g").sortWithinPartitions("g", "rep").mapInArrow(run, "a long, b long")
+    return mapped(texts.repartition(n, "g").sortWithinPartitions("g", "rep"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import blocks
-from .common import stored, table, uniform
+from .common import mapped, stored, table, uniform
 
 BITS = 16
 #: Labelled documents of each class that fit target and limit, at most (those of the smallest hashes).
@@ -62,7 +62,7 @@ def counted(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(1 << BITS)
-    for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in mapped(docs.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -82,7 +82,7 @@ def scored(docs: DataFrame, weights: np.ndarray, column: str) -> DataFrame:
             got = np.round(np.concatenate(out), 6) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, quality: int) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import blocks
-from .common import shared_dir, table
+from .common import mapped, shared_dir, table
 
 END_ID = 2
 #: Words whose ids a Python worker keeps in each of two generations: words met again outlive a change.
@@ -257,7 +257,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
 
     # Keys first, so that sampling for the ranges reads no texts' ids; ties by text, so that reruns agree.
     ranged = docs.select(F.col(key).cast("long").alias("_key"), "text").repartitionByRange("_key").sortWithinPartitions("_key", "text")
-    ranged.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    mapped(ranged, run, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -288,7 +288,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     # A number of partitions of its own, else AQE joins these few rows, of little size, in one task.
     spread = starts.select("name", "start").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
-    return spread.mapInArrow(run, schema)
+    return mapped(spread, run, schema)
 
 
 class TokenStore:
