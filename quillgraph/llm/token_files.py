@@ -241,7 +241,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
                 out, tail = fs.open_output_stream(f"{at}/{name}"), np.array([end_id], own.type).tobytes()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             keys += [_NULL if k is None else k for k in batch.column(0).to_pylist()]
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, 1 << 22):
                 for raw in own.encode([t or b"" for t in texts[a:b]]):
                     out.write(raw + tail)
                     counts.append((len(raw) + len(tail)) // own.type.itemsize)
