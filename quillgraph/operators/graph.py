@@ -14,10 +14,19 @@ from ..functions.text import entity_key, is_vague, parts, relation_name, strip
 from ..functions.vocabulary import COMPANY_HEAD, JUNK_RELATIONS, OFFICE, PLACE_TAIL, TYPES
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns, each computed once for a row.
+
+    A generator holds them: filters above a projection would repeat its expressions, patterns and all, and those of the projections below it.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(made)))
+
+
 def judged(facts: DataFrame, key: Callable[[Column], Column] = entity_key) -> DataFrame:
     """facts with stripped head, relation and tail, rel (its name) and verdict: accept, or why not."""
-    out = facts.withColumns({c: strip(F.coalesce(c, F.lit(""))) for c in ("head", "relation", "tail")}).withColumn("rel", relation_name(F.col("relation")))
-    out = out.withColumns({"head_key": key(F.col("head")), "tail_key": key(F.col("tail"))})
+    out = once(facts, {c: strip(F.coalesce(c, F.lit(""))) for c in ("head", "relation", "tail")})
+    out = once(out, {"rel": relation_name(F.col("relation")), "head_key": key(F.col("head")), "tail_key": key(F.col("tail"))})
     verdict = (
         F.when((F.col("head") == "") | (F.col("tail") == ""), "empty").when(F.col("head") == F.col("tail"), "same_raw").when((F.length("head") > 100) | (F.length("tail") > 100) | (F.length("relation") > 60), "length")
         .when(is_vague(F.col("head")) | is_vague(F.col("tail")), "vague").when((F.col("head_key") == "") | (F.col("tail_key") == ""), "empty_key").when(F.col("head_key") == F.col("tail_key"), "same_key")
@@ -29,7 +38,8 @@ def judged(facts: DataFrame, key: Callable[[Column], Column] = entity_key) -> Da
 def split_compounds(accepted: DataFrame, key: Callable[[Column], Column] = entity_key) -> DataFrame:
     """A row for every pair of a head's and a tail's part whose keys differ and have 7 words at most: adds h, t, hk, tk, hp, tp."""
     out = accepted.select("*", F.posexplode(parts(F.col("head"))).alias("hp", "h")).select("*", F.posexplode(parts(F.col("tail"))).alias("tp", "t"))
-    out = out.withColumns({"hk": key(F.col("h")), "tk": key(F.col("t"))}).where("hk <> tk")
+    own = lambda part, whole: F.when(F.col(part) == F.col(whole), F.col(f"{whole}_key")).otherwise(key(F.col(part)))
+    out = once(out, {"hk": own("h", "head"), "tk": own("t", "tail")}).where("hk <> tk")
     return out.where((F.size(F.split("hk", " ")) <= 7) & (F.size(F.split("tk", " ")) <= 7))
 
 
