@@ -127,3 +127,12 @@ def vis_subgraph(edges_: DataFrame, labels: DataFrame, min_mentions: int = 2, ma
     out = inside.join(own("head"), "head", "left").join(own("tail"), "tail", "left")
     dashed = F.coalesce(F.col("head_label") != F.col("tail_label"), F.lit(False))
     return out.select("head", "relation", "tail", "mentions", dashed.alias("dashed"), F.round(1 + F.least(F.col("mentions"), F.lit(8)) * 0.6, 6).alias("width"))
+
+
+def modularity(adj: DataFrame, labels: DataFrame) -> DataFrame:
+    """(modularity): of communities (key, label) over undirected weights (src, dst, w); 0 for no edges."""
+    own = lambda s: labels.select(F.col("key").alias(s), F.col("label").alias(f"{s}_label"))
+    rows = adj.join(own("src"), "src").join(own("dst"), "dst")
+    by_label = rows.groupBy(F.col("src_label").alias("label")).agg(F.sum("w").alias("all"), F.sum(F.when(F.col("src_label") == F.col("dst_label"), F.col("w")).otherwise(0.0)).alias("inside"))
+    total = by_label.agg(F.sum("all").alias("t"), F.sum("inside").alias("i"), F.sum(F.col("all") * F.col("all")).alias("sq"))
+    return total.select(F.coalesce(F.col("i") / F.col("t") - F.col("sq") / (F.col("t") * F.col("t")), F.lit(0.0)).alias("modularity"))

@@ -266,6 +266,13 @@ def community_relations(spark, sf_dir):
     return x.select(F.explode(F.array_distinct(F.array("hl", "tl"))).alias("label"), line.alias("line"))
 
 
+@query(f"""WITH {Q.ADJACENT}, l AS (SELECT key, {Q.KINDS} AS label FROM nodes), x AS (SELECT s.label AS a, d.label AS b, w FROM adj JOIN l s ON src = s.key JOIN l d ON dst = d.key),
+c AS (SELECT a, sum(w) AS deg, coalesce(sum(w) FILTER (a = b), 0) AS ins FROM x GROUP BY a) SELECT round(sum(ins) / sum(deg) - sum(deg * deg) / (sum(deg) * sum(deg)), 6) AS modularity FROM c""")
+def modularity(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return G.modularity(G.adjacency(edges), kinds(nodes).select("key", "label")).select(F.round("modularity", 6).alias("modularity"))
+
+
 # ---- search
 
 
@@ -367,6 +374,21 @@ def bio_decode(spark, sf_dir):
     return N.decode_bio(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), tag.alias("tag")))
 
 
+# ---- ports
+
+
+_ANSWERS = [(1, '{"score": 130, "route": "Global", "entities": ["a", " ", "b", "c", "d", "e", "f"]}'), (2, '{"score": "41.9", "route": "local", "entities": []}'), (3, '{"entities": "x"}'), (4, '{"score": -3, "route": "other", "entities": ["only"]}')]
+
+
+@query("""SELECT * FROM (VALUES (1, 100, 'global', 'a|b|c|d|e'), (2, 41, 'local', ''), (3, 0, 'local', ''), (4, 0, 'local', 'only')) v(id, score, route, names)""")
+def model_answers(spark, sf_dir):
+    """What is read from a model's answers, by values fixed in advance."""
+    from ..operators import ports as P
+
+    a = F.col("answer")
+    return spark.createDataFrame(_ANSWERS, "id int, answer string").select("id", P.rating(a).alias("score"), P.route(a).alias("route"), F.array_join(P.names_asked(a), "|").alias("names"))
+
+
 # ---- vectors and streams
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,54 @@ def save_failed(old: DataFrame, new: DataFrame, path: str) -> None:
 def write_splits(rows: DataFrame, path: str) -> None:
     """Span rows as JSON lines, a folder for each split."""
     rows.write.mode("overwrite").partitionBy("split").json(path)
+
+
+def read_failed(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_id) of a list of failed chunks: a JSON array of strings."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("chunk_id"))
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """(doc, chars, num_chunks, chunks_preview) of chunks (doc, chunk_ord, text): the first 80 characters of a document's first chunk."""
+    own = chunks.groupBy("doc").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("num_chunks"), F.min_by("text", "chunk_ord").alias("first"))
+    own.select("doc", "chars", "num_chunks", F.concat(F.substring("first", 1, 80), F.lit("...")).alias("chunks_preview")).write.mode("overwrite").json(path)
+
+
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as JSON lines, aliases sorted, in order of first mention."""
+    nodes.withColumn("aliases", F.array_sort("aliases")).orderBy("node_seq").drop("node_seq").write.mode("overwrite").json(f"{path}/nodes")
+    edges.orderBy("edge_seq").drop("edge_seq").write.mode("overwrite").json(f"{path}/edges")
+
+
+def write_merge_log(nominations: DataFrame, groups: DataFrame, key_map: DataFrame, threshold: float, path: str) -> None:
+    """Nominations (scores to 3 places), and each judged group with what its canonical key absorbed."""
+    nominations.select(F.lit(threshold).alias("threshold"), "a", "b", F.round("score", 3).alias("score")).write.mode("overwrite").json(f"{path}/nominations")
+    own = groups.join(key_map, "key", "left").groupBy("group").agg(F.max("canon").alias("canonical"), F.array_sort(F.collect_list(F.when(F.col("canon").isNotNull(), F.col("key")))).alias("absorbed"))
+    own.write.mode("overwrite").json(f"{path}/audit")
+
+
+def write_communities(members: DataFrame, summaries: DataFrame, path: str) -> None:
+    """(id, size, entities, summary): members (id, key, display, type, mentions) by mentions; a missing summary is empty."""
+    entity = F.struct(-F.col("mentions"), "key", "display", "type")
+    own = members.groupBy("id").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(entity.cast("struct<less:bigint,key:string,display:string,type:string>"))).alias("e"))
+    entities = F.transform("e", lambda x: F.struct(x["key"].alias("key"), x["display"].alias("display"), x["type"].alias("type"), (-x["less"]).alias("mentions")))
+    out = own.join(summaries.select("id", "summary"), "id", "left").select("id", "size", entities.alias("entities"), F.coalesce("summary", F.lit("")).alias("summary"))
+    out.write.mode("overwrite").json(path)
+
+
+COMMUNITIES = "id long, size long, entities array<struct<key:string,display:string,type:string,mentions:bigint>>, summary string"
+
+
+def read_communities(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COMMUNITIES).json(path)
+
+
+def community_of(communities: DataFrame) -> DataFrame:
+    """(key, id) of every member."""
+    return communities.select("id", F.explode("entities").alias("e")).select(F.col("e.key").alias("key"), "id")
+
+
+def page(nodes: DataFrame, edges: DataFrame, title: str = "graph") -> str:
+    """A page that carries a bounded graph (of vis_subgraph) as JSON; only frames limited beforehand belong here."""
+    held = [json.dumps([r.asDict(recursive=True) for r in df.collect()], ensure_ascii=True).replace("<", "\\u003c") for df in (nodes, edges)]
+    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><script>const nodes = {held[0]}, edges = {held[1]};</script>\n'

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import components, graph, resolve, search, spans
+from quillgraph.operators import components, graph, ports, resolve, search, spans
 from quillgraph.plans import queries
 from quillgraph.sources import files
 from quillgraph.streaming.ingest import ingest
@@ -98,3 +98,52 @@ def test_files_and_stream(spark, tmp_path):
         out = ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", lambda c, fact=fact: c.select("chunk_id", "doc", F.when(F.col("text") != "fail", fact).alias("triples"), F.array().cast("array<struct<name:string,type:string>>").alias("entities")))
     assert sorted(r.chunk_id for r in out.collect()) == ["c1", "c3"]
     assert [r.chunk_id for r in spark.read.parquet(f"{tmp_path}/out/failed").collect()] == ["c2"]
+
+
+def test_ports_retry_and_report(spark):
+    def client():
+        seen = {}
+
+        def ask(system, user):
+            seen[user] = seen.get(user, 0) + 1
+            if user == "never" or (user == "later" and seen[user] < 2):
+                raise TimeoutError("slow")
+            return "no json" if user == "odd" else '{"score": 7}'
+
+        return ask
+
+    prompts = spark.createDataFrame([("s", u) for u in ("at once", "later", "never", "odd")], "system string, user string").coalesce(1)
+    got = {r.user: r for r in ports.answered(prompts, client, 2, 0.0).collect()}
+    assert got["at once"].answer == got["later"].answer == '{"score": 7}' and got["later"].error is None
+    assert got["never"].answer is None and got["never"].error == "TimeoutError: slow" and got["odd"].error.startswith("JSONDecodeError")
+
+
+def test_graph_files(spark, toy, tmp_path):
+    log = graph.mention_log(toy)
+    nodes, edges = graph.nodes(log), graph.edges(log)
+    files.write_graph_json(nodes, edges, f"{tmp_path}/g")
+    assert spark.read.json(f"{tmp_path}/g/nodes").count() == 8 and spark.read.json(f"{tmp_path}/g/edges").first().source_chunks
+    (tmp_path / "failed.json").write_text('["c2", "c1"]')
+    assert sorted(r.chunk_id for r in files.read_failed(spark, f"{tmp_path}/failed.json").collect()) == ["c1", "c2"]
+    chunks = spark.createDataFrame([("d", 1, "bb"), ("d", 0, "a" * 100)], "doc string, chunk_ord int, text string")
+    files.write_index(chunks, f"{tmp_path}/index")
+    row = spark.read.json(f"{tmp_path}/index").first()
+    assert (row.chars, row.num_chunks, row.chunks_preview) == (102, 2, "a" * 80 + "...")
+    members = nodes.withColumn("id", F.when(F.col("key").contains("dr"), 1).otherwise(0).cast("long"))
+    files.write_communities(members, spark.createDataFrame([(0, "both")], "id long, summary string"), f"{tmp_path}/com")
+    back = files.read_communities(spark, f"{tmp_path}/com")
+    assert {r.id: (r.size, r.summary) for r in back.collect()} == {0: (6, "both"), 1: (2, "")}
+    assert files.community_of(back).count() == 8 and back.where("id = 0").first().entities[0].key == "helios energy"
+    key_map = spark.createDataFrame([("b", "a")], "key string, canon string")
+    files.write_merge_log(spark.createDataFrame([("a", "b", 0.73456)], "a string, b string, score double"), spark.createDataFrame([("g", "a"), ("g", "b")], "group string, key string"), key_map, 0.5, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log/nominations").first().score == 0.735
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/log/audit").select("canonical", "absorbed").collect()] == [("a", ["b"])]
+    odd = spark.createDataFrame([("</script>",)], "key string")
+    assert "</script>" not in files.page(odd, odd, "t<").replace(";</script>", "")
+
+
+def test_modularity_of_two_pairs(spark):
+    adj = spark.createDataFrame([(a, b, 1.0) for x, y in ("ab", "cd") for a, b in ((x, y), (y, x))], "src string, dst string, w double")
+    labels = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "key string, label int")
+    assert graph.modularity(adj, labels).first()[0] == pytest.approx(0.5)
+    assert graph.modularity(adj.limit(0), labels).first()[0] == 0.0
