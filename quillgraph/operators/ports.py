@@ -42,8 +42,8 @@ def answered(prompts: DataFrame, client: Callable[[], Callable[[str, str], str]]
 
 def rating(answer: Column) -> Column:
     """A rating, 0 to 100, from an answer with `score`; 0 where there is none."""
-    score = F.get_json_object(answer, "$.score").cast("double").cast("int")
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), score)), F.lit(0))
+    score = F.coalesce(F.get_json_object(answer, "$.score").try_cast("double").cast("int"), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(100), score))
 
 
 def names_asked(answer: Column, most: int = 5) -> Column:

@@ -48,6 +48,6 @@ def outgoing_two_hops(edges: DataFrame, seed: str) -> DataFrame:
 
 
 def best_communities(ratings: DataFrame, k: int = 5, least: int = 20) -> DataFrame:
-    """The k highest scores (clamped to 0-100), those under `least` dropped."""
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("score").cast("int")))
+    """The k highest scores (clamped to 0-100, none is 0), those under `least` dropped."""
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.col("score").cast("int"), F.lit(0))))
     return ratings.withColumn("score", score).orderBy(F.col("score").desc(), "id").limit(k).where(F.col("score") >= least)

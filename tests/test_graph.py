@@ -147,3 +147,10 @@ def test_modularity_of_two_pairs(spark):
     labels = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "key string, label int")
     assert graph.modularity(adj, labels).first()[0] == pytest.approx(0.5)
     assert graph.modularity(adj.limit(0), labels).first()[0] == 0.0
+
+
+def test_a_missing_rating_is_none(spark):
+    rows = spark.createDataFrame([(1, 150), (2, None), (3, 19), (4, 40)], "id int, score int")
+    assert [(r.id, r.score) for r in search.best_communities(rows).collect()] == [(1, 100), (4, 40)]
+    said = spark.createDataFrame([(1, "{}"), (2, '{"score": "high"}'), (3, None), (4, '{"score": 55}')], "id int, answer string")
+    assert [r.s for r in said.orderBy("id").select(ports.rating(F.col("answer")).alias("s")).collect()] == [0, 0, 0, 55]
