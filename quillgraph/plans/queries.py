@@ -77,7 +77,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark, sf_dir):
-    chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunk_text()(F.substring(T.clean_text(F.col("text")), 1, 40_000))).alias("chunk_ord", "text"))
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunk_text()(T.clean_text(F.col("text")))).alias("chunk_ord", "text"))
     return chunks.select("doc_id", "chunk_ord", F.concat_ws("::", "doc_id", "chunk_ord").alias("chunk_id"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -410,10 +410,10 @@ def stream_resume(spark, sf_dir):
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
     path = f"{base}/stream-{uuid.uuid4().hex}"
-    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("source").alias("doc"), F.substring("text", 1, 40).alias("text"))
+    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("source").alias("doc"), "text")
     fact = F.struct(F.col("doc").alias("head"), F.lit("NAMES").alias("relation"), F.col("text").alias("tail"))
     extract = lambda c: c.select("chunk_id", "doc", F.array(fact).alias("triples"), F.array().cast("array<struct<name:string,type:string>>").alias("entities"))
     for half in (F.crc32("chunk_id") % 2 == 0, F.lit(True)):
-        chunks.where(half).write.mode("append").json(f"{path}/in")
+        chunks.where(half).write.mode("append").option("compression", "gzip").json(f"{path}/in")
         out = ingest(spark, f"{path}/in", f"{path}/out", extract)
     return out.select("chunk_id", F.size("triples").alias("n_triples"))
