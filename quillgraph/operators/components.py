@@ -40,14 +40,19 @@ def vote(adj: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("key", F.when(F.col("top") > F.coalesce("mine", F.lit(0.0)), F.col("best")).otherwise(F.col("label")).alias("label"))
 
 
-def propagate(adj: DataFrame, labels: DataFrame, rounds: int = 20) -> DataFrame:
-    """Synchronous label propagation, half of the nodes (by hash) in each round, so that pairs don't swap for ever."""
+def propagate(adj: DataFrame, labels: DataFrame, sweeps: int = 20) -> DataFrame:
+    """Synchronous label propagation, half of the nodes (by hash) in each round, so that pairs don't swap for ever.
+
+    Two rounds are a sweep over all nodes; it ends when two rounds in a row, one of each half, change nothing.
+    """
     half = F.pmod(F.xxhash64("key"), F.lit(2))
-    for i in range(rounds):
+    adj, labels, calm = checkpointed(adj), checkpointed(labels), 0
+    for i in range(2 * sweeps):
         new = vote(adj, labels).withColumnRenamed("label", "new")
         step = checkpointed(labels.join(new, "key").select("key", F.when(half == i % 2, F.col("new")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
         labels = step.drop("was")
-        if i % 2 and step.where("label <> was").isEmpty():
+        calm = calm + 1 if step.where("label <> was").isEmpty() else 0
+        if calm == 2:
             break
     return labels
 

@@ -241,7 +241,7 @@ def lpa_sync_round(spark, sf_dir):
 @query()
 def lpa_scalable(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    return C.propagate(G.adjacency(edges), nodes.select("key", F.col("node_seq").alias("label")), rounds=4)
+    return C.propagate(G.adjacency(edges), nodes.select("key", F.col("node_seq").alias("label")))
 
 
 @query()
