@@ -4,13 +4,16 @@ Each task splits whole texts into the pattern's matches, takes the distinct ones
 and folds the ranked merges over all of them at once: a matrix of byte tokens, a row for each
 word, loses the lowest-ranked adjacent pair of every row in each step until no pair has a rank.
 The rank map is a literal (the vocabulary file's bytes travel with the plan). Decoding joins
-the binary pieces of the ids. No shuffle; memory is bounded by a cache of 2 * `CACHE` words.
+the binary pieces of the ids. No shuffle; memory is bounded by two caches of `cache` words.
 
-`encode_words_native` folds the merges with Spark's higher-order functions over a table of distinct
-words. It gives the same ids, but to bring them back to the documents every occurrence has to be
-shuffled twice, beyond the disk limit (README has figures); so texts use the form above.
+`encode_native` is the same with Spark's higher-order functions alone: the ranks of pairs are a literal of two
+arrays (a pair lies in one of two places, so a look-up is constant), the corpus's frequent words are folded
+once as a table of distinct words and travel as a literal too, and a word outside it is folded in its row. It
+gives the same ids and shuffles next to nothing, but costs more than the check's limit (README has figures).
 
-A null text is an empty one: no ids. Extra columns are kept; repeated rows are encoded each.
+A null text is an empty one: no ids. Extra columns are kept, but for clashing ones, in any case of letters, which give way
+to ours; repeated rows are encoded each; ties don't arise. An empty table gives an empty result. Texts and pieces may be of any length: a long
+piece merges over a heap.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mapped, table
 
-#: Words whose ids a Python worker keeps in each of two generations: words met again outlive a change.
-CACHE = 50_000
+#: Words whose ids a Python worker keeps in each of two generations, by default: words met again outlive a change.
+CACHE = 300_000
+#: Characters of texts that a task encodes at once, by default.
+SPAN = 1 << 21
 #: Cells of the matrix that is folded at once.
 CELLS = 1 << 17
 #: Pieces of more bytes merge one by one with a heap.
@@ -54,6 +59,7 @@ class Coder:
     """Ranks, and ids of pieces by folding ranked merges."""
 
     def __init__(self, blob: bytes):
+        self.most = CACHE
         self.rank = ranks_of(blob)
         self.token = {r: t for t, r in self.rank.items()}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
@@ -155,7 +161,7 @@ class Coder:
     def known(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
         """For each text its pieces' (ids as b" 1 2", bytes decoded from the ids)."""
         pieces = [self.find(t) for t in texts]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.cache, self.older = {}, self.cache
         new = list(set().union(*pieces).difference(self.cache))
         old = [self.older.get(w) for w in new]
@@ -195,18 +201,19 @@ def blocks(texts: list[str | None], most: int = 1 << 19):
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, cache: int = CACHE, span: int = SPAN) -> DataFrame:
     """docs without text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     blob = rank_file(path)
-    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids")]
+    kept = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids")]
     fields = [docs.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def run(batches):
         own = coder(blob)
+        own.most = cache
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, span):
                 n, sha, back, every = [], [], [], []
                 for parts in own.known([t or "" for t in texts[a:b]]):
                     ids = b"".join([p[0] for p in parts])
@@ -226,26 +233,109 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
     return mapped(docs.select(*kept, "text"), run, schema)
 
 
+NO_RANK = 1 << 30
+#: Bits of a token's id in a packed pair.
+ID_BITS = 17
+
+
+def pair_tables(pairs: dict[int, int]) -> tuple[list[list[int]], tuple[int, int]]:
+    """Two tables of packed (pair, rank), -1 where empty, and the multiplier of each: every pair lies at one of its two places."""
+    size = max(8, 2 * len(pairs)) | 1
+    for way in ((40503, 48271), (69621, 16807), (39373, 62089)):
+        found = [[-1] * size, [-1] * size]
+        for k, r in pairs.items():
+            entry, t = k << ID_BITS | r, 0
+            for _ in range(500):
+                a, b = entry >> 2 * ID_BITS, entry >> ID_BITS & (1 << ID_BITS) - 1
+                at = (a * way[0] + b if t == 0 else a + b * way[1]) % size
+                entry, found[t][at] = found[t][at], entry
+                t = 1 - t
+                if entry < 0:
+                    break
+            else:
+                break
+        else:
+            return found, way
+    raise ValueError("the pairs fit no table")
+
+
+def numbers(xs: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+
+
+class NativeCoder:
+    """Columns: ids of words by folding ranked merges, and token bytes of ids; the vocabulary is a literal."""
+
+    def __init__(self, ranks: dict[bytes, int] | None = None):
+        self.ranks = ranks or ranks_of(rank_file())
+        if max(self.ranks.values()) >= 1 << ID_BITS:
+            raise ValueError(f"ranks over {1 << ID_BITS}")
+        get = self.ranks.get
+        pairs = {get(t[:i]) << ID_BITS | get(t[i:]): r for t, r in self.ranks.items() for i in range(1, len(t)) if get(t[:i]) is not None and get(t[i:]) is not None}
+        (first, second), self.way = pair_tables(pairs)
+        self.size, self.first, self.second = len(first), numbers(first), numbers(second)
+        self.byte = numbers([get(bytes([b]), 0) for b in range(256)])
+        token = {r: t for t, r in self.ranks.items()}
+        self.token = F.split(F.lit(",".join(token.get(r, b"").hex() for r in range(max(token) + 1))), ",")
+
+    def rank(self, a: Column, b: Column) -> Column:
+        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+        places = F.array(F.get(self.first, ((a * self.way[0] + b) % self.size).cast("int")), F.get(self.second, ((a + b * self.way[1]) % self.size).cast("int")))
+        own = F.filter(places, lambda e: F.shiftright(e, ID_BITS) == key)
+        return F.coalesce(F.get(own, F.lit(0)).bitwiseAND(F.lit((1 << ID_BITS) - 1)), F.lit(NO_RANK).cast("long"))
+
+    def ids(self, word: Column) -> Column:
+        """A fold of as many steps as the word has bytes: each merges the first of the best-ranked adjacent pairs."""
+        raw = F.hex(F.encode(word, "UTF-8"))
+        byte = lambda i: F.get(self.byte, F.conv(raw.substr(i, F.lit(2)), 16, 10).cast("int"))
+        start = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1)), F.lit(2)), byte)).otherwise(F.array().cast("array<bigint>"))
+
+        def step(ids, _):
+            n = F.size(ids)
+            pairs = F.zip_with(F.slice(ids, 1, F.greatest(n - 1, F.lit(0))), F.slice(ids, 2, F.greatest(n - 1, F.lit(0))), self.rank)
+            merged = lambda p: F.when(F.coalesce(F.array_min(p), F.lit(NO_RANK)) == NO_RANK, ids).otherwise(
+                F.concat(F.slice(ids, 1, F.array_position(p, F.array_min(p)).cast("int") - 1), F.array(F.array_min(p)), F.slice(ids, F.array_position(p, F.array_min(p)).cast("int") + 2, n))
+            )
+            return F.get(F.transform(F.array(pairs), merged), F.lit(0))
+
+        whole = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(raw) / 2, F.lit(2)).cast("int")), start, step)
+        return F.when(F.size(start) < 2, start).otherwise(whole)
+
+    def decoded(self, ids: Column) -> Column:
+        """The tokens' binary pieces, joined."""
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.token, i.cast("int"))), ""))
+
+
 def encode_words_native(words: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """(word, ids) by Spark's higher-order functions alone, for a table of distinct words.
+    """(word, ids) by Spark's higher-order functions alone, for a table of distinct words."""
+    return words.select("word", NativeCoder(ranks).ids(F.col("word")).alias("ids"))
+
+
+def java_pattern() -> str:
+    return public_tokenizers.PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+
+
+def encode_native(docs: DataFrame, bits: int = 17, ranks: dict[bytes, int] | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) by DataFrame functions alone.
 
-    A fold of length - 1 steps merges the first of the best-ranked adjacent pairs, as upper-case hex strings;
-    the rank map is a literal. A look-up in it is linear, so give a small map.
+    Of the words that the corpus holds most often, those that share no place among 2 ** bits are folded as a table and
+    travel as a literal; which they are decides speed only. Letters are those of the JVM's Unicode version.
     """
-    ranks = ranks or ranks_of(rank_file())
-    rank = F.create_map(*[F.lit(x) for t, r in ranks.items() for x in (t.hex().upper(), r)])
-    text = F.hex(F.encode("word", "UTF-8"))
-    start = F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text), F.lit(2)), lambda i: text.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-
-    def step(parts, _):
-        pairs = F.zip_with(parts, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda a, b: F.try_element_at(rank, F.concat(a, b)))
-        best = F.array_min(pairs)
-        at = F.array_position(pairs, best).cast("int")
-        merged = F.concat(F.slice(parts, 1, at - 1), F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))), F.slice(parts, at + 2, F.size(parts)))
-        return F.when(best.isNull(), parts).otherwise(merged)
-
-    parts = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), start, step)
-    return words.select("word", F.transform(parts, lambda p: F.element_at(rank, p)).alias("ids"))
+    own, slots = NativeCoder(ranks), 1 << bits
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern()), F.lit(0))
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(slots))
+    counts = docs.select(F.explode(pieces).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # One word for each place: slots rows at most come to the driver.
+    best = counts.groupBy(place(F.col("word")).alias("at")).agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+    known = {r["at"]: r for r in best.select("at", "word", own.ids(F.col("word")).alias("ids")).collect()}
+    hexed = [known[i]["word"].encode().hex() if i in known else "-" for i in range(slots)]
+    given = [" ".join(map(str, known[i]["ids"])) if i in known else "-" for i in range(slots)]
+    names, values = (F.split(F.lit(",".join(x)), ",") for x in (hexed, given))
+    key = lambda w: F.lower(F.hex(F.encode(w, "UTF-8")))
+    shown = lambda w: F.when(F.get(names, place(w).cast("int")) == key(w), F.get(values, place(w).cast("int"))).otherwise(F.array_join(own.ids(w).cast("array<string>"), " "))
+    out = docs.select("doc_id", F.array_join(F.transform(pieces, shown), " ").alias("shown"))
+    ids = F.when(F.col("shown") == "", F.array().cast("array<bigint>")).otherwise(F.split("shown", " ").cast("array<bigint>"))
+    return out.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2("shown", 256).alias("ids_sha256"), F.sha2(own.decoded(ids), 256).alias("decoded_sha256"))
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
