@@ -19,22 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """A new folder's path under spark.checkpoint.dir; a local one only where that is unset and driver and executors are one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="quillgraph-"))
         base = _own[0]
     return f"{base.rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables stored() has written so far: a mark for cleared()."""
+    return len(_written)
+
+
+def cleared(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Deletes the tables that stored() wrote from one mark to another; nothing may still read them."""
+    for path in _written[since:until]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[since:until]
+
+
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
     """A number strictly between 0 and 1, the same in every run for the same values (52 bits of md5)."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])

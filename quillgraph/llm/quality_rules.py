@@ -1,34 +1,39 @@
 """Quality rules on DataFrame functions alone: base counts, and a log-likelihood ratio of hashed n-grams.
 
-A word's token is its last three characters (words are too many, endings few). Tokens and pairs of
-neighbouring tokens fall into `BUCKETS` hashed buckets; two multinomials over them, add-one smoothed,
-come from a bounded sample of trusted documents (target) and from every document (raw). A text's score is
-the sum of log(target / raw) over its n-grams by their number, and texts under `THRESHOLD` go.
+Whole words fall into `BUCKETS` hashed buckets, pairs of neighbouring words into as many others. Two multinomials over
+them, add-one smoothed, come from all trusted documents (target) and from every document (raw). A text's score
+is the sum of log(target / raw) over its n-grams by their number, and texts under `THRESHOLD` go.
 
-The corpus is counted with partial aggregation: `BUCKETS` rows a task at most are shuffled. Scores come from
-an array of `BUCKETS` weights, a literal, inside each row: no text is shuffled.
+The threshold says by how much a text's n-grams may be rarer among trusted documents than in the corpus, on (geometric)
+average: exp(-0.2) is 0.82 times. Prose like the trusted documents' lies around 0 whatever its subject, since rare words
+are rare in both; text of another make is mostly n-grams that trusted documents lack, and lies far below.
 
-Windows of three words that recur in a text are found in the row too: 64-bit hashes, their upper bits packed
-with positions, are sorted, and neighbours compared.
+The corpus is counted with partial aggregation: 2 * `BUCKETS` rows a task at most are shuffled. Scores come from
+an array of as many weights, a literal, inside each row: no text is shuffled. The trusted documents are found by
+a join on their ids, which Catalyst broadcasts below its size limit; beyond that, texts are shuffled once.
+
+Windows of three words that recur in a text are found in the row too: 64-bit hashes, their upper 33 bits packed
+with positions, are sorted and neighbours compared; windows alike in those bits are sorted again by whole hashes.
 
 Null texts count as no words, so they fail the base; without trusted documents all scores are 0; repeated
-rows count as often as they occur; an empty table gives an empty result; extra columns stay.
+rows count as often as they occur; an empty table gives an empty result; extra columns stay, but for those of our results' names.
+A score at the threshold is kept. Texts may be of any length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, fresh, table
 
-BUCKETS = 1 << 14
-#: Trusted documents that the target model is counted on, at most (those of the smallest hashes).
-TRUSTED = 4096
-THRESHOLD = -0.1
+BUCKETS = 1 << 16
+THRESHOLD = -0.2
 SYMBOLS = r"[#*$%&|<>]"
-#: Lowest bits of a packed hash, that hold a window's position.
-SHIFT = 24
+#: Lowest bits of a packed hash, that hold a window's position: any index that an array can have.
+SHIFT = 31
 
 
 def words(text: Column) -> Column:
@@ -40,37 +45,54 @@ def tail(xs: Column, k: int) -> Column:
 
 
 def grams(w: Column) -> Column:
-    """Buckets of tokens and of pairs of neighbouring tokens, in two arrays: the pairs' last is of one token alone and dropped."""
-    tokens = F.transform(w, lambda x: F.xxhash64(F.substring(x, -3, 3)))
+    """Buckets of words, and of pairs of neighbouring words."""
+    bits = 64 - (BUCKETS - 1).bit_length()
     both = lambda t: F.array(
-        F.transform(t, lambda a: (F.shiftrightunsigned(a, 50)).cast("int")),
-        F.slice(F.zip_with(t, tail(t, 1), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 50).cast("int")), 1, F.greatest(F.size(t) - 1, F.lit(0))),
+        F.transform(t, lambda a: (F.shiftrightunsigned(a, bits)).cast("int")),
+        F.slice(F.zip_with(t, tail(t, 1), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), bits).cast("int") + BUCKETS), 1, F.greatest(F.size(t) - 1, F.lit(0))),
     )
-    return F.flatten(F.flatten(F.transform(F.array(tokens), both)))
+    return F.flatten(F.flatten(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), both)))
+
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(bucket, n): occurrences in docs."""
+    return docs.select(F.explode(grams(words(F.col("text")))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
-def counted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Occurrences by bucket in all documents (raw) and in the trusted sample (target)."""
-    sample = trusted.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct().orderBy(F.xxhash64("_t"), "_t").limit(TRUSTED)
-    own = docs.select("doc_id", F.explode(grams(words(F.col("text")))).alias("bucket"))
-    # TRUSTED ids at most: a proven bound.
-    return own.join(F.broadcast(sample), F.col("doc_id") == F.col("_t"), "left").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
+
+def weights(docs: DataFrame, trusted: DataFrame) -> list[float] | None:
+    """log(target / raw) of every bucket; None without trusted documents. 2 * BUCKETS numbers come to the driver, whatever the corpus."""
+    ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
+    found = {}
+    for name, rows in (("raw", docs), ("target", docs.join(ids, docs["doc_id"] == ids["_trusted"], "left_semi"))):
+        found[name] = {r.bucket: r.n for r in counted(rows).collect()}
+    raw, target = found["raw"], found["target"]
+    out = []
+    for part in (range(BUCKETS), range(BUCKETS, 2 * BUCKETS)):
+        r, t = (sum(x.get(k, 0) for k in part) + BUCKETS for x in (raw, target))
+        out += [round(math.log((target.get(k, 0) + 1) / t) - math.log((raw.get(k, 0) + 1) / r), 6) for k in part]
+    return out if target else None
 
 
 def repeated(g: Column) -> Column:
     """Words in windows whose hash, in g, occurs more than once."""
     size = F.size(g)
-    low = (1 << SHIFT) - 1
     packed = F.sort_array(F.transform(g, lambda x, i: F.shiftleft(F.shiftright(x, SHIFT), SHIFT).bitwiseOR(i.cast("long"))))
+    at = lambda x: x.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
+    neighbours = lambda s, hit: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), hit)
+
+    def alike(s: Column) -> Column:
+        """Positions whose upper bits also another has."""
+        both = neighbours(s, lambda a, b: F.when(F.shiftright(a, SHIFT) == F.shiftright(b, SHIFT), F.array(at(a), at(b))))
+        return F.array_distinct(F.flatten(F.filter(both, lambda p: p.isNotNull())))
 
-    def positions(s: Column) -> Column:
-        at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-        same = F.zip_with(F.slice(s, 1, size - 1), F.slice(s, 2, size - 1), lambda a, b: F.when(F.shiftright(a, SHIFT) == F.shiftright(b, SHIFT), F.array(at(a), at(b))))
-        hits = F.filter(same, lambda p: p.isNotNull() & (F.get(g, p[0]) == F.get(g, p[1])))
-        return F.sort_array(F.array_distinct(F.flatten(hits)))
+    def positions(few: Column) -> Column:
+        """Of those, the ones whose whole hash another has."""
+        whole = F.transform(F.array(F.array_sort(F.transform(few, lambda i: F.struct(F.get(g, i).alias("h"), i.alias("i"))))), lambda s: neighbours(s, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))))
+        return F.when(F.size(few) < 2, F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(F.flatten(F.filter(F.flatten(whole), lambda p: p.isNotNull())))))
 
+    found = F.transform(F.transform(F.array(packed), alike), positions)
     covered = F.aggregate(
-        F.get(F.transform(F.array(packed), positions), F.lit(0)),
+        F.get(found, F.lit(0)),
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")),
         lambda acc: acc["n"],
@@ -82,38 +104,31 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept."""
     ours = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ours])
-    counts = stored(counted(docs, trusted))
-    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("_target"))
-    llr = F.ln((F.col("target") + 1) / (F.col("_target") + BUCKETS)) - F.ln((F.col("raw") + 1) / (F.col("_raw") + BUCKETS))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
-    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    every = every.withColumns({"_raw": F.lit(total[0]), "_target": F.lit(total[1])}).select("bucket", llr.alias("w"))
-    # BUCKETS numbers, whatever the corpus: they travel as a literal.
-    found = {r.bucket: r.w for r in every.collect()} if total[1] else {}
-    table_ = [found.get(k, 0.0) for k in range(BUCKETS)]
+    table_ = weights(docs, trusted)
+    w, h, g, b = fresh(docs, "_w", "_h", "_g", "_b")
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_w", words(F.col("text"))).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    windows = F.slice(F.zip_with(F.zip_with("_h", tail(F.col("_h"), 1), lambda a, b: F.xxhash64(a, b)), tail(F.col("_h"), 2), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size("_h") - 2, F.lit(0)))
-    out = out.withColumn("_g", windows).withColumn("_b", grams(F.col("_w")))
+    out = docs.withColumn(w, words(F.col("text"))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    windows = F.slice(F.zip_with(F.zip_with(h, tail(F.col(h), 1), lambda a, b: F.xxhash64(a, b)), tail(F.col(h), 2), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - 2, F.lit(0)))
+    out = out.withColumn(g, windows).withColumn(b, grams(F.col(w)))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     out = out.select(
         *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
+        F.size(w).cast("long").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        repeated(F.col("_g")).alias("n_repeat_words"),
-        _score(table_).alias("llr"),
+        repeated(F.col(g)).alias("n_repeat_words"),
+        (_score(table_, F.col(b)) if table_ else F.lit(0.0)).alias("llr"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def _score(table_: list[float]) -> Column:
+def _score(table_: list[float], b: Column) -> Column:
     """Mean weight of a row's n-grams."""
-    w = F.split(F.lit(",".join(map(repr, table_))), ",").cast("array<double>")
-    total = F.aggregate("_b", F.lit(0.0), lambda acc, x: acc + F.get(w, x))
-    return F.round(total / F.greatest(F.size("_b"), F.lit(1)), 9)
+    w = F.split(F.lit(",".join(map(str, table_))), ",").cast("array<double>")
+    total = F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(w, x))
+    return F.round(total / F.greatest(F.size(b), F.lit(1)), 9)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
