@@ -72,6 +72,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+REST = "_columns_of_the_caller"
+
+
+def packed(df: DataFrame, *used: str) -> DataFrame:
+    """df's columns of these names (those it has), and all others in one column, where no name clashes with ours."""
+    rest = [c for c in df.columns if c not in used]
+    return df.select(*[c for c in df.columns if c in used], *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias(REST)] if rest else []))
+
+
+def unpacked(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """The given columns in order, from a table that packed(table, *used) became."""
+    return df.select(*[F.col(c) if c in used else F.col(REST).getField(c).alias(c) for c in columns])
+
+
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

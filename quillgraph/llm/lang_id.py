@@ -1,13 +1,14 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
-Texts become byte streams: UTF-8, ASCII letters in lower case, every run of other ASCII bytes one blank. The
-network reads a stream in segments of `STEPS` bytes, many at a time, labels every position from both directions,
-and a document's probabilities are the means over all its positions. It is trained by back-propagation through
-time on segments of a bounded sample (`SLOTS` texts of each language, the ones of the smallest hashes, `EXCERPT`
-characters of each); prediction reads whole texts, in blocks of bounded size.
+Texts become byte streams: UTF-8, ASCII letters in lower case, nothing left out. The network reads a stream in
+segments of `STEPS` bytes, many at a time, labels every position from both directions, and a document's
+probabilities are the means over all its positions. It is trained by back-propagation through time on a bounded
+sample: `SLOTS` texts of each language, the ones of the smallest hashes, and `SEGMENTS` segments of each, drawn from
+the whole text; the `LANGS` most frequent languages are learned. Prediction reads whole texts, in blocks of bounded size.
 
 A text that is null or has no letter is `und` with score 0, as is everything if no text has a language. A language of few
-texts is learned from what there is. Rows are independent: repeated rows and extra columns are kept.
+texts is learned from what there is; of equal probabilities the language first by code point wins. Rows are independent: repeated rows and extra
+columns are kept, but for those of our results' names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,19 +26,15 @@ from .byte_bpe import blocks
 from .common import mapped, table
 
 STEPS, HIDDEN = 64, 8
-#: Of the training sample: texts of each language, and characters of each, at most.
-SLOTS, EXCERPT = 256, 400
+#: Of the training sample: languages, texts of each, and segments of each text, at most.
+LANGS, SLOTS, SEGMENTS = 64, 256, 24
 _LETTER = re.compile(r"[^\W\d_]")
-_LOWER = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+#: A to Z in lower case; 0 marks what is beyond a stream's end, so a byte 0 reads as a blank.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b or 32 for b in range(256))
 
 
 def stream(text: bytes) -> np.ndarray:
-    """A text's bytes, lower-cased, every run of other ASCII bytes one blank."""
-    x = np.frombuffer(text.translate(_LOWER), dtype=np.uint8)
-    blank = x == 32
-    keep = np.ones(len(x), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
-    return x[keep]
+    return np.frombuffer(text.translate(_LOWER), dtype=np.uint8)
 
 
 def segments(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,22 +156,41 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sampled(docs: DataFrame, slots: int = SLOTS, pieces: int = SEGMENTS, langs: int = LANGS) -> list[tuple[str, bytes]]:
+    """(lang, segment) of a bounded sample of documents (doc_id, text, lang): at most langs * slots * pieces rows of STEPS bytes."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(langs).select("lang")
+    # langs * slots hashes at most, partially aggregated: a proven bound for the broadcast.
+    best = known.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).join(F.broadcast(top), "lang", "left_semi").select("lang", "h")
+
+    def run(batches):
+        for batch in batches:
+            names, cut, hashes = [], [], []
+            for lang, text, h in zip(batch.column("lang").to_pylist(), texts_of(batch), batch.column("h").to_pylist(), strict=True):
+                rows, _ = segments([stream(text)])
+                some = np.random.default_rng(h & (2**63 - 1)).permutation(len(rows))[:pieces]
+                names += [lang] * len(some)
+                hashes += [h] * len(some)
+                cut += [rows[i].tobytes() for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cut, pa.binary()), pa.array(hashes, pa.int64())], names=["lang", "row", "h"])
+
+    rows = mapped(known.join(F.broadcast(best), ["lang", "h"], "left_semi"), run, "lang string, row binary, h long")
+    return sorted((r.lang, bytes(r.row)) for r in rows.dropDuplicates(["lang", "h", "row"]).select("lang", "row").collect())
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
 def fit(docs: DataFrame) -> Network | None:
     """A network trained on the documents (doc_id, text, lang) that are not held out; None if no text has a language."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    excerpt = F.substring("text", 1, EXCERPT)
-    mixed = F.xxhash64("doc_id", excerpt)
-    # At most SLOTS rows of each language, whatever the corpus; partially aggregated.
-    sample = known.select("lang", excerpt.alias("text"), mixed.alias("h")).groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("h", "text")).alias("own"))
-    rows = sample.select("lang", "own.text").collect()
-    rows = sorted((r.lang, r.text) for r in rows)
-    cut, doc = segments([stream(t.encode()) for _, t in rows]) if rows else (np.zeros((0, STEPS)), np.zeros(0, int))
-    langs = sorted({rows[i][0] for i in set(doc.tolist())})
+    rows = sampled(docs.where(~held_out(F.col("doc_id"))))
+    langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
     net = Network.new(langs)
     if len(langs) > 1:
-        net.train(cut, np.array([langs.index(rows[i][0]) for i in doc]))
+        net.train(np.frombuffer(b"".join(r for _, r in rows), np.uint8).reshape(-1, STEPS), np.array([langs.index(lang) for lang, _ in rows]))
     return net
 
 

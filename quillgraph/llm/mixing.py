@@ -4,17 +4,19 @@ Every source gets a target number of words: shares follow the weights, a target
 `max_epochs` times the source's size, and the excess goes to the others by weight. A target
 of e.g. 2.3 sizes takes every document twice (complete epochs), and for the rest takes
 documents in order of an exponential key -ln(u) / quality until the budget is used up, so a
-document of twice the quality comes up twice as fast. The last document reached counts with
+document of twice the quality comes up twice as fast. u is a hash of doc_id and text, so rows that share an id, or
+have none, are spread too. Quality is lower the more of a text is markup, digits and symbols. The last document reached counts with
 the words that still fit.
 
 The order within a source is never sorted as a whole: keys fall into `BINS` ranges, words are
 summed by (source, range) with partial aggregation, and only documents of the one range in
-which a source's budget ends are sorted. A source with a third of all rows is spread over all
+which a source's budget ends (one of 65,536) are sorted. A source with a third of all rows is spread over all
 tasks.
 
 Null texts have size 0 and are never taken; null sources form one source, ranked last; an
 empty table gives an empty result; repeated rows are separate documents (equal ones are
-interchangeable); extra columns are kept, and our names give way to clashing ones.
+interchangeable); ties of keys are ordered by doc_id, text and size; extra columns are kept, but for those of our results' names.
+Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table, uniform
+from .common import REST, WORD, packed, stored, table, uniform
 
 #: Ranges of keys in each source; a budget ends in one of them, and only that one is sorted.
-BINS = 4096
+BINS = 1 << 16
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Characters that lower a document's quality weight.
@@ -57,7 +59,7 @@ def measured(docs: DataFrame, seed: int) -> DataFrame:
     """docs with _size (words), _key (exponential, by quality) and _bin (its range)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     quality = 0.25 + 0.75 * F.length(F.translate(text, NOISE, "")) / F.greatest(F.length(text), F.lit(1))
-    key = -F.ln(uniform("doc_id", seed=seed)) / quality
+    key = -F.ln(uniform("doc_id", F.md5(text), seed=seed)) / quality
     out = docs.withColumn("_size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_key", key)
     return out.withColumn("_bin", F.floor((1 - F.exp(-F.col("_key"))) * BINS).cast("int"))
 
@@ -65,8 +67,8 @@ def measured(docs: DataFrame, seed: int) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target and taken."""
     ours = ("size", "source_size", "target", "taken")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ours])
-    rows = measured(docs, seed)
+    names = [c for c in docs.columns if c.lower() not in ours]
+    rows = measured(packed(docs.select(*names), "doc_id", "text", "source"), seed)
     bins = stored(rows.groupBy("source", "_bin").agg(F.sum("_size").alias("_words")))
     aims = targets(bins.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_epochs)
     whole = F.round("target").cast("long")
@@ -90,7 +92,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
     sorted_ = rows.where(at_edge).withColumn("_part", F.least("_size", F.greatest(budget - ran, F.lit(0))))
     out = rows.where(~at_edge).withColumn("_part", part).unionByName(sorted_)
     taken = F.col("_epochs") * F.col("_size") + F.col("_part")
-    return out.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+    out = out.withColumn("taken", taken)
+    return out.select(*[F.col(c) if c in ("doc_id", "text", "source") else F.col(REST).getField(c).alias(c) for c in names], F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -103,7 +106,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 m AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    -ln((CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+    -ln((CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(t)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
       / (0.25 + 0.75 * length(translate(t, '#*$%&|<>{}[]~^=_\@0123456789', '')) / greatest(length(t), 1)) AS key
   FROM d),
 s AS (

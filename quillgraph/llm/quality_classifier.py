@@ -11,7 +11,12 @@ Counting sends a row for each bucket and task. The k-th largest key is found by
 fine each time, never by a global sort. Documents are scored twice, and no text is shuffled.
 
 Null and empty texts weigh 1 (log 0). Without labels every document stays. Equal rows get equal keys and stay or go
-together, so ties may keep a few more than k. Extra columns stay; an empty table gives an empty result.
+together, so ties may keep a few more than k. Extra columns stay, but for those of our results' names; an empty table gives an empty result.
+Texts may be of any length.
+
+`TEMPER` sets what the draw decides: at 400 trigrams a document's weight differs from the limit by more than the noise for most
+documents, so junk goes and clean documents stay, and the draw settles the ones near the limit. A lower one
+would trade clean documents for variety.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from .byte_bpe import blocks
 from .common import mapped, stored, table, uniform
 
 BITS = 16
-#: Labelled documents of each class that fit target and limit, at most (those of the smallest hashes).
+#: Labelled documents of each class that fit target and limit, at most, by default (those of the smallest hashes).
 LABELLED = 3000
+#: Weights are whole multiples of 1 / SCALE, so that their sums don't depend on the order.
+SCALE = 1 << 20
 KEEP, SHRINK, TEMPER = 0.998, 300.0, 400.0
 
 
@@ -70,25 +77,31 @@ def counted(docs: DataFrame) -> np.ndarray:
 def scored(docs: DataFrame, weights: np.ndarray, column: str) -> DataFrame:
     """docs with the log weight as `column`."""
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    small = weights.astype(np.float32)
+    small = np.rint(weights * SCALE).astype(np.int64)
 
     def run(batches):
         for batch in batches:
             texts, out = texts_of(batch), []
             for a, b in blocks(texts):
                 h, at = hashed(texts[a:b])
-                total = np.concatenate([[0.0], np.cumsum(small[h], dtype=np.float64)])
-                out.append(TEMPER * (total[at[1:]] - total[at[:-1]]) / (np.diff(at) + SHRINK))
+                total = np.concatenate([[0], np.cumsum(small[h])])
+                out.append(TEMPER / SCALE * (total[at[1:]] - total[at[:-1]]) / (np.diff(at) + SHRINK))
             got = np.round(np.concatenate(out), 6) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=schema.names)
 
     return mapped(docs, run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, quality: int) -> DataFrame:
-    """(text) of LABELLED documents at most of one quality: a broadcast of a proven size."""
-    ids = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+def labelled(docs: DataFrame, labels: DataFrame, quality: int, most: int = LABELLED) -> DataFrame:
+    """(doc_id, text) of the documents of `most` ids at most of one quality: a broadcast of a proven size."""
+    ids = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def known_weights(docs: DataFrame, weights: np.ndarray, most: int) -> np.ndarray:
+    """Log weights of docs, of `most` rows at most: an id may have come up many times."""
+    rows = scored(docs, weights, "log_weight").select(F.xxhash64("doc_id", "text").alias("h"), "log_weight")
+    return np.array([r.log_weight for r in rows.orderBy("h").limit(most).collect()])
 
 
 def limit_of(good: np.ndarray, bad: np.ndarray) -> float:
@@ -119,17 +132,16 @@ def cutoff(keys: DataFrame, k: int, levels: int = 40) -> float | None:
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = 13) -> DataFrame:
-    """docs with log_weight, key and kept."""
+def classify(docs: DataFrame, labels: DataFrame, seed: int = 13, most: int = LABELLED) -> DataFrame:
+    """docs with log_weight, key and kept; target and limit are fitted on `most` labelled documents of each class at most."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("log_weight", "key", "kept")])
-    raw, target = counted(docs), counted(labelled(docs, labels, 1))
+    raw, target = counted(docs), counted(labelled(docs, labels, 1, most))
     size = 1 << BITS
     weights = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size)) if target.sum() else np.zeros(size)
     scores = scored(docs, weights, "log_weight")
     gumbel = -F.ln(-F.ln(uniform("doc_id", seed=seed)))
     scores = scores.withColumn("key", F.round(F.col("log_weight") + gumbel, 9))
-    flat = lambda q: np.array([r.log_weight for r in scored(labelled(docs, labels, q), weights, "log_weight").select("log_weight").collect()])
-    least = limit_of(flat(1), flat(0))
+    least = limit_of(*(known_weights(labelled(docs, labels, q, most), weights, most) for q in (1, 0)))
     keys = stored(scores.select("log_weight", "key"))
     edge = cutoff(keys.select("key"), keys.where(F.col("log_weight") >= float(least)).count())
     return scores.withColumn("kept", F.lit(False) if edge is None else F.col("key") >= edge)

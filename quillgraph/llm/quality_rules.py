@@ -1,14 +1,15 @@
 """Quality rules on DataFrame functions alone: base counts, and a log-likelihood ratio of hashed n-grams.
 
-Whole words fall into `BUCKETS` hashed buckets, pairs of neighbouring words into as many others. Two multinomials over
-them, add-one smoothed, come from all trusted documents (target) and from every document (raw). A text's score
+Whole words, pairs of neighbouring words and words' endings (three characters, for words that nobody wrote before) fall into
+`BUCKETS` hashed buckets each. Multinomials over them come from all trusted documents (target) and from every document (raw), smoothed by
+`PRIOR` occurrences of each n-gram (raw) and by the target's share of that: n-grams seldom seen weigh next to nothing. A text's score
 is the sum of log(target / raw) over its n-grams by their number, and texts under `THRESHOLD` go.
 
 The threshold says by how much a text's n-grams may be rarer among trusted documents than in the corpus, on (geometric)
 average: exp(-0.2) is 0.82 times. Prose like the trusted documents' lies around 0 whatever its subject, since rare words
 are rare in both; text of another make is mostly n-grams that trusted documents lack, and lies far below.
 
-The corpus is counted with partial aggregation: 2 * `BUCKETS` rows a task at most are shuffled. Scores come from
+The corpus is counted with partial aggregation: `FAMILIES` * `BUCKETS` rows a task at most are shuffled. Scores come from
 an array of as many weights, a literal, inside each row: no text is shuffled. The trusted documents are found by
 a join on their ids, which Catalyst broadcasts below its size limit; beyond that, texts are shuffled once.
 
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD, fresh, table
 
-BUCKETS = 1 << 16
+#: Hashed buckets of each family of n-grams: words, pairs, endings.
+BUCKETS, FAMILIES = 1 << 16, 3
 THRESHOLD = -0.2
+#: Occurrences that every n-gram is given beforehand.
+PRIOR = 8
 SYMBOLS = r"[#*$%&|<>]"
 #: Lowest bits of a packed hash, that hold a window's position: any index that an array can have.
 SHIFT = 31
@@ -45,13 +49,15 @@ def tail(xs: Column, k: int) -> Column:
 
 
 def grams(w: Column) -> Column:
-    """Buckets of words, and of pairs of neighbouring words."""
+    """Buckets of words, of pairs of neighbouring words, and of words' endings."""
     bits = 64 - (BUCKETS - 1).bit_length()
-    both = lambda t: F.array(
-        F.transform(t, lambda a: (F.shiftrightunsigned(a, bits)).cast("int")),
-        F.slice(F.zip_with(t, tail(t, 1), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), bits).cast("int") + BUCKETS), 1, F.greatest(F.size(t) - 1, F.lit(0))),
+    bucket = lambda h, family: F.shiftrightunsigned(h, bits).cast("int") + family * BUCKETS
+    every = lambda t: F.array(
+        F.transform(t, lambda a: bucket(a, 0)),
+        F.slice(F.zip_with(t, tail(t, 1), lambda a, b: bucket(F.xxhash64(a, b), 1)), 1, F.greatest(F.size(t) - 1, F.lit(0))),
+        F.transform(w, lambda x: bucket(F.xxhash64(F.right(x, F.lit(3))), 2)),
     )
-    return F.flatten(F.flatten(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), both)))
+    return F.flatten(F.flatten(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), every)))
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -60,16 +66,17 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> list[float] | None:
-    """log(target / raw) of every bucket; None without trusted documents. 2 * BUCKETS numbers come to the driver, whatever the corpus."""
+    """log(target / raw) of every bucket; None without trusted documents. FAMILIES * BUCKETS numbers come to the driver, whatever the corpus."""
     ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
     found = {}
     for name, rows in (("raw", docs), ("target", docs.join(ids, docs["doc_id"] == ids["_trusted"], "left_semi"))):
         found[name] = {r.bucket: r.n for r in counted(rows).collect()}
     raw, target = found["raw"], found["target"]
     out = []
-    for part in (range(BUCKETS), range(BUCKETS, 2 * BUCKETS)):
-        r, t = (sum(x.get(k, 0) for k in part) + BUCKETS for x in (raw, target))
-        out += [round(math.log((target.get(k, 0) + 1) / t) - math.log((raw.get(k, 0) + 1) / r), 6) for k in part]
+    for part in (range(i * BUCKETS, (i + 1) * BUCKETS) for i in range(FAMILIES)):
+        r, t = (sum(x.get(k, 0) for k in part) for x in (raw, target))
+        share = t / max(r, 1) or 1.0  # as much smoothing, by size, as in the raw model
+        out += [round(math.log((target.get(k, 0) + PRIOR * share) / (t + PRIOR * share * BUCKETS)) - math.log((raw.get(k, 0) + PRIOR) / (r + PRIOR * BUCKETS)), 6) for k in part]
     return out if target else None
 
 

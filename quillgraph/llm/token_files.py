@@ -1,7 +1,7 @@
 """Token ids in binary files, with a minimal perfect hash index from document keys to offsets.
 
 Layout of a shard (little endian): payload of ids (uint16 if the vocabulary allows it, else
-uint32), then a footer: keys int64[n], offsets uint64[n + 1] (in ids), displacements int32[b],
+uint32), then a footer: keys int64[n], of which the first ones may be null, offsets uint64[n + 1] (in ids), displacements int32[b],
 fingerprints uint32[d], slots uint32[d], and a header of 8 fields at the very end. d is the number of
 distinct keys. A key hashes to one of b buckets; the bucket's displacement sends it to a slot of
 its own; the slot holds a fingerprint, which refuses most foreign keys, and the key's record.
@@ -10,11 +10,13 @@ are ordered by key, so a reader finds the shard among their first keys.
 
 Writing: documents are range-partitioned by key, each partition streams its ids into one
 shard of a unique name, and only names that tasks return count (a lost task leaves an orphan, not
-a double). A shard's ids are never held whole; its index is (12 bytes or so a document).
+a double). A shard's ids are never held whole; its keys and counts (16 bytes a document) and its index
+(some 100 bytes a document while it is built) are. There are as many shards as the range partitioning makes, so
+`spark.sql.shuffle.partitions` bounds a shard's size.
 
 A null text is an empty one: the end id alone. A document with a null key is written, first in
-order, but has no index entry. Repeated keys are neighbours; the index has the first. Files
-of an empty table: none.
+order, but has no index entry. Repeated keys are neighbours, ordered by text; the index has the first. Texts may be of any length, their
+ids are written as they come. Extra columns aren't read. Files of an empty table: none.
 """
 
 from __future__ import annotations
@@ -41,9 +43,8 @@ from .common import mapped, shared_dir, table
 END_ID = 2
 #: Words whose ids a Python worker keeps in each of two generations: words met again outlive a change.
 CACHE = 300_000
-_HEADER = "<8sIIQQQQQ"
+_HEADER = "<8sIQQQQQQ"
 _MAGIC = b"QGTOKEN1"
-_NULL = -(1 << 63)
 #: The tokenizer's pieces of a lower-case ASCII word.
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -74,31 +75,30 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray, records: np.ndarray) -> PerfectHash:
+        """All buckets of one size try the same displacement at once; those that find free slots, first come first served, are done."""
         n, b = len(keys), max(1, len(keys) // 3)
         bucket = (mixed(keys, 0) % np.uint64(b)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         starts = np.searchsorted(bucket[order], np.arange(b + 1))
         sizes = np.diff(starts)
         d, used, slot = np.zeros(b, np.int32), np.zeros(n, bool), np.zeros(n, np.int64)
-        for k in np.argsort(-sizes, kind="stable"):
-            if sizes[k] < 2:
-                break
-            own, t = order[starts[k] : starts[k + 1]], 0
-            while True:  # 64 displacements at a time
-                tries = np.arange(t, t + 64)
-                at = place(np.tile(keys[own], (64, 1)), np.repeat(tries[:, None], len(own), 1), n)
-                free = ~used[at].any(axis=1)
-                if len(own) > 1:
-                    free &= (np.diff(np.sort(at, axis=1), axis=1) > 0).all(axis=1)
-                if free.any():
-                    i = int(free.argmax())
-                    d[k], slot[own] = tries[i], at[i]
-                    used[at[i]] = True
-                    break
-                t += 64
+        for size in range(int(sizes.max(initial=0)), 1, -1):
+            left, t = np.flatnonzero(sizes == size), 0
+            while len(left):
+                own = order[starts[left][:, None] + np.arange(size)]
+                at = place(keys[own], np.full(own.shape, t), n)
+                free = ~used[at].any(axis=1) & (np.diff(np.sort(at, axis=1), axis=1) > 0).all(axis=1)
+                few = np.flatnonzero(free)
+                flat = at[few].ravel()
+                _, first = np.unique(flat, return_index=True)
+                mine = np.zeros(len(flat), bool)
+                mine[first] = True
+                won = few[mine.reshape(-1, size).all(axis=1)]
+                d[left[won]], slot[own[won]], used[at[won]] = t, at[won], True
+                left, t = np.delete(left, won), t + 1
         single = np.flatnonzero(sizes == 1)
-        left = np.flatnonzero(~used)[: len(single)]
-        d[single], slot[order[starts[single]]] = -left - 1, left
+        rest = np.flatnonzero(~used)[: len(single)]
+        d[single], slot[order[starts[single]]] = -rest - 1, rest
         prints, to = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         prints[slot], to[slot] = (mixed(keys, 2) >> np.uint64(32)).astype(np.uint32), records
         return cls(n, d, prints, to)
@@ -124,7 +124,7 @@ class Shard:
         self.file = fs.open_input_file(path)
         end = self.file.size()
         self.file.seek(end - struct.calcsize(_HEADER))
-        magic, width, _, n, d, b, tokens, crc = struct.unpack(_HEADER, self.file.read(struct.calcsize(_HEADER)))
+        magic, width, nulls, n, d, b, tokens, crc = struct.unpack(_HEADER, self.file.read(struct.calcsize(_HEADER)))
         if magic != _MAGIC:
             raise ValueError(f"{uri} is no shard")
         self.type = np.dtype(f"<u{width}")
@@ -137,7 +137,7 @@ class Shard:
         for name, kind, k in (("keys", "<i8", n), ("offsets", "<u8", n + 1), ("d", "<i4", b), ("prints", "<u4", d), ("records", "<u4", d)):
             take[name] = np.frombuffer(raw, dtype=kind, count=k, offset=at)
             at += take[name].nbytes
-        self.keys, self.offsets, self.tokens = take["keys"], take["offsets"].astype(np.int64), tokens
+        self.keys, self.offsets, self.tokens, self.nulls = take["keys"], take["offsets"].astype(np.int64), tokens, nulls
         self.index = PerfectHash(d, take["d"], take["prints"], take["records"])
 
     def ids(self, record: int) -> np.ndarray:
@@ -147,7 +147,7 @@ class Shard:
 
     def get(self, key: int) -> np.ndarray | None:
         k = int(self.index.get(np.array([key]))[0])
-        return None if k < 0 or self.keys[k] != key else self.ids(k)
+        return None if k < self.nulls or self.keys[k] != key else self.ids(k)
 
 
 _words: dict = {}
@@ -194,10 +194,13 @@ class WordIds:
             part = plain[i : i + 64 * 256]
             lines = [part[k : k + 64] for k in range(0, len(part), 64)]
             pieces = [len(_PIECE.findall(w.lower())) for w in part]
-            ids = np.concatenate([np.array(e.ids, dtype=np.int64) for e in self.batch([b" ".join(x).decode() for x in lines], add_special_tokens=False)])
+            found = [e.ids for e in self.batch([b" ".join(x).decode() for x in lines], add_special_tokens=False)]
+            ids = np.concatenate([np.array(x, dtype=np.int64) for x in found])
             ends = np.flatnonzero(self.end[ids]) + 1
-            if len(ends) != sum(pieces):
-                break
+            line = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            own = np.add.reduceat(pieces, np.arange(0, len(part), 64))
+            if (np.diff(np.searchsorted(ends, line, side="right")) != own).any():  # a word of unforeseen pieces: each word by itself
+                continue
             at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])] * self.type.itemsize
             raw, at = ids.astype(self.type).tobytes(), at.tolist()
             out.update((w, raw[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
@@ -229,7 +232,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
 
     def run(batches):
         own, fs, out = None, None, None
-        keys, counts, done = [], [], 0
+        keys, nulls, counts = array("q"), 0, array("q")
         name = f"shard-{uuid.uuid4().hex}.bin"
         for batch in batches:
             if not batch.num_rows:
@@ -240,20 +243,23 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
                 fs.create_dir(at, recursive=True)
                 out, tail = fs.open_output_stream(f"{at}/{name}"), np.array([end_id], own.type).tobytes()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            keys += [_NULL if k is None else k for k in batch.column(0).to_pylist()]
+            nulls += batch.column(0).null_count  # they come first
+            keys.extend(batch.column(0).fill_null(0).to_pylist())
             for a, b in blocks(texts, 1 << 22):
                 for raw in own.encode([t or b"" for t in texts[a:b]]):
                     out.write(raw + tail)
                     counts.append((len(raw) + len(tail)) // own.type.itemsize)
         if out is None:
             return
-        keys, offsets = np.array(keys, "<i8"), np.concatenate([[0], np.cumsum(counts)]).astype("<u8")
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]) & (keys != _NULL))
+        keys, offsets = np.frombuffer(keys, "<i8"), np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int64))]).astype("<u8")
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        new[:nulls], new[nulls : nulls + 1] = False, True
+        new = np.flatnonzero(new)
         index = PerfectHash.build(keys[new], new)
         foot = b"".join([keys.tobytes(), offsets.tobytes(), index.d.astype("<i4").tobytes(), index.prints.astype("<u4").tobytes(), index.records.astype("<u4").tobytes()])
-        out.write(foot + struct.pack(_HEADER, _MAGIC, own.type.itemsize, 0, len(keys), len(new), len(index.d), int(offsets[-1]), zlib.crc32(foot)))
+        out.write(foot + struct.pack(_HEADER, _MAGIC, own.type.itemsize, nulls, len(keys), len(new), len(index.d), int(offsets[-1]), zlib.crc32(foot)))
         out.close()
-        yield pa.RecordBatch.from_pylist([{"name": name, "first_key": int(keys[0]), "last_key": int(keys[-1]), "n_docs": len(keys), "n_tokens": int(offsets[-1])}], schema=pa.schema([("name", pa.string())] + [(k, pa.int64()) for k in MANIFEST.names[1:]]))
+        yield pa.RecordBatch.from_pylist([{"name": name, "first_key": int(keys[nulls]) if nulls < len(keys) else None, "last_key": int(keys[-1]) if nulls < len(keys) else None, "n_docs": len(keys), "n_tokens": int(offsets[-1])}], schema=pa.schema([("name", pa.string())] + [(k, pa.int64()) for k in MANIFEST.names[1:]]))
 
     # Keys first, so that sampling for the ranges reads no texts' ids; ties by text, so that reruns agree.
     ranged = docs.select(F.col(key).cast("long").alias("_key"), "text").repartitionByRange("_key").sortWithinPartitions("_key", "text")
@@ -265,7 +271,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files: each record is found through its shard's index."""
     shards = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # Shards are few: one for each partition written.
-    starts = shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(W.orderBy("first_key", "name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    starts = shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(W.orderBy(F.col("first_key").asc_nulls_first(), "name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
     def run(batches):
@@ -273,16 +279,16 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 shard = Shard(f"{folder}/{row['name']}")
                 record = np.arange(len(shard.keys))
-                own = np.flatnonzero(shard.keys != _NULL)
+                own = np.arange(shard.nulls, len(shard.keys))
                 at = shard.index.get(shard.keys[own])
                 if (at < 0).any() or (shard.keys[at] != shard.keys[own]).any():
                     raise ValueError(f"{row['name']}: its index misses a key")
-                first = np.concatenate([[True], shard.keys[1:] != shard.keys[:-1]])[own]
+                first = np.concatenate([[True], np.diff(shard.keys[own]) != 0])[: len(own)]
                 record[own[first]] = at[first]
                 for a in range(0, len(record), 4096):
                     part = record[a : a + 4096].tolist()
                     crc = [zlib.crc32(shard.ids(k).astype("<u4").tobytes()) for k in part]
-                    keys = [None if k == _NULL else k for k in shard.keys[part].tolist()]
+                    keys = [None if i < shard.nulls else k for i, k in zip(part, shard.keys[part].tolist(), strict=True)]
                     cols = [keys, (shard.offsets[part] + row["start"]).tolist(), (shard.offsets[np.array(part) + 1] - shard.offsets[part]).tolist(), crc]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=schema.names)
 
@@ -295,7 +301,7 @@ class TokenStore:
     """Keyed access to a folder of shards: the shard by its first key, the record by the perfect hash."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("first_key").collect()
+        rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").where("first_key is not null").orderBy("first_key").collect()
         self.folder, self.first, self.names, self.open = folder, [r.first_key for r in rows], [r.name for r in rows], {}
 
     def get(self, key: int) -> np.ndarray | None:
