@@ -1,7 +1,7 @@
 """Quality rules on DataFrame functions alone: base counts, and a log-likelihood ratio of hashed n-grams.
 
 Whole words, pairs of neighbouring words and words' endings (three characters, for words that nobody wrote before) fall into
-`BUCKETS` hashed buckets each. Multinomials over them come from all trusted documents (target) and from every document (raw), smoothed by
+`BUCKETS` hashed buckets each. Multinomials over them come from trusted documents (target: all of them, up to a bound of `TRUSTED`, a parameter) and from every document (raw), smoothed by
 `PRIOR` occurrences of each n-gram (raw) and by the target's share of that: n-grams seldom seen weigh next to nothing. A text's score
 is the sum of log(target / raw) over its n-grams by their number, and texts under `THRESHOLD` go.
 
@@ -10,8 +10,7 @@ average: exp(-0.2) is 0.82 times. Prose like the trusted documents' lies around
 are rare in both; text of another make is mostly n-grams that trusted documents lack, and lies far below.
 
 The corpus is counted with partial aggregation: `FAMILIES` * `BUCKETS` rows a task at most are shuffled. Scores come from
-an array of as many weights, a literal, inside each row: no text is shuffled. The trusted documents are found by
-a join on their ids, which Catalyst broadcasts below its size limit; beyond that, texts are shuffled once.
+an array of as many weights, a literal, inside each row: no text is shuffled. The trusted ids are broadcast, under that bound.
 
 Windows of three words that recur in a text are found in the row too: 64-bit hashes, their upper 33 bits packed
 with positions, are sorted and neighbours compared; windows alike in those bits are sorted again by whole hashes.
@@ -33,6 +32,8 @@ from .common import WORD, fresh, table
 #: Hashed buckets of each family of n-grams: words, pairs, endings.
 BUCKETS, FAMILIES = 1 << 16, 3
 THRESHOLD = -0.2
+#: Trusted documents that the target is counted on, at most, by default (of more, those of the smallest hashes).
+TRUSTED = 1 << 20
 #: Occurrences that every n-gram is given beforehand.
 PRIOR = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -48,36 +49,40 @@ def tail(xs: Column, k: int) -> Column:
     return F.slice(xs, k + 1, F.greatest(F.size(xs), F.lit(1)))
 
 
-def grams(w: Column) -> Column:
-    """Buckets of words, of pairs of neighbouring words, and of words' endings."""
+def grams(w: Column, h: Column) -> Column:
+    """Buckets of words w (hashes h), of pairs of neighbouring words, and of words' endings."""
     bits = 64 - (BUCKETS - 1).bit_length()
-    bucket = lambda h, family: F.shiftrightunsigned(h, bits).cast("int") + family * BUCKETS
-    every = lambda t: F.array(
-        F.transform(t, lambda a: bucket(a, 0)),
-        F.slice(F.zip_with(t, tail(t, 1), lambda a, b: bucket(F.xxhash64(a, b), 1)), 1, F.greatest(F.size(t) - 1, F.lit(0))),
-        F.transform(w, lambda x: bucket(F.xxhash64(F.right(x, F.lit(3))), 2)),
+    bucket = lambda x, family: F.shiftrightunsigned(x, bits).cast("int") + family * BUCKETS
+    return F.flatten(
+        F.array(
+            F.transform(h, lambda a: bucket(a, 0)),
+            F.slice(F.zip_with(h, tail(h, 1), lambda a, b: bucket(F.xxhash64(a, b), 1)), 1, F.greatest(F.size(h) - 1, F.lit(0))),
+            F.transform(w, lambda x: bucket(F.xxhash64(F.right(x, F.lit(3))), 2)),
+        )
     )
-    return F.flatten(F.flatten(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), every)))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(bucket, n): occurrences in docs."""
-    return docs.select(F.explode(grams(words(F.col("text")))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-
-
-def weights(docs: DataFrame, trusted: DataFrame) -> list[float] | None:
-    """log(target / raw) of every bucket; None without trusted documents. FAMILIES * BUCKETS numbers come to the driver, whatever the corpus."""
+def trusted_ids(trusted: DataFrame, most: int) -> DataFrame:
+    """(_trusted): all ids of trusted, or of more than `most` those of the smallest hashes, a little under `most`: a proven bound for a broadcast."""
     ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
-    found = {}
-    for name, rows in (("raw", docs), ("target", docs.join(ids, docs["doc_id"] == ids["_trusted"], "left_semi"))):
-        found[name] = {r.bucket: r.n for r in counted(rows).collect()}
-    raw, target = found["raw"], found["target"]
+    n = ids.count()
+    return ids if n <= most else ids.where(F.pmod(F.xxhash64("_trusted"), F.lit(1 << 30)) < int(0.98 * most / n * (1 << 30)))
+
+
+def weights(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED) -> list[float] | None:
+    """log(target / raw) of every bucket; None without trusted documents. FAMILIES * BUCKETS rows come to the driver, whatever the corpus."""
+    ids = trusted_ids(trusted, most)
+    rows = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(ids), F.col("doc_id") == F.col("_trusted"), "left")
+    rows = rows.select("w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.col("_trusted").isNotNull().cast("int").alias("own"))
+    counts = rows.select("own", F.explode(grams(F.col("w"), F.col("h"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("own").alias("target"))
+    found = counts.collect()
+    raw, target = {r.bucket: r.raw for r in found}, {r.bucket: r.target for r in found}
     out = []
     for part in (range(i * BUCKETS, (i + 1) * BUCKETS) for i in range(FAMILIES)):
         r, t = (sum(x.get(k, 0) for k in part) for x in (raw, target))
         share = t / max(r, 1) or 1.0  # as much smoothing, by size, as in the raw model
         out += [round(math.log((target.get(k, 0) + PRIOR * share) / (t + PRIOR * share * BUCKETS)) - math.log((raw.get(k, 0) + PRIOR) / (r + PRIOR * BUCKETS)), 6) for k in part]
-    return out if target else None
+    return out if sum(target.values()) else None
 
 
 def repeated(g: Column) -> Column:
@@ -107,16 +112,16 @@ def repeated(g: Column) -> Column:
     return F.when(size < 2, F.lit(0).cast("long")).otherwise(covered)
 
 
-def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept."""
     ours = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ours])
-    table_ = weights(docs, trusted)
+    table_ = weights(docs, trusted, most)
     w, h, g, b = fresh(docs, "_w", "_h", "_g", "_b")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn(w, words(F.col("text"))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     windows = F.slice(F.zip_with(F.zip_with(h, tail(F.col(h), 1), lambda a, b: F.xxhash64(a, b)), tail(F.col(h), 2), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - 2, F.lit(0)))
-    out = out.withColumn(g, windows).withColumn(b, grams(F.col(w)))
+    out = out.withColumn(g, windows).withColumn(b, grams(F.col(w), F.col(h)))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     out = out.select(
         *docs.columns,

@@ -42,7 +42,7 @@ from .common import mapped, shared_dir, table
 
 END_ID = 2
 #: Words whose ids a Python worker keeps in each of two generations: words met again outlive a change.
-CACHE = 300_000
+CACHE = 500_000
 _HEADER = "<8sIQQQQQQ"
 _MAGIC = b"QGTOKEN1"
 #: The tokenizer's pieces of a lower-case ASCII word.

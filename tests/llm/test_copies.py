@@ -74,6 +74,50 @@ def test_minhash_equals_all_pairs(spark):
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_groups_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    rows, bases = [], [r.choices(words, k=90) for _ in range(3)]
+    for n in range(150):
+        own = list(bases[n % 3])
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            own[r.randrange(90)] = r.choice(words)
+        rows.append((n, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = closed(sets, links)
+    assert 3 < len(set(want.values())) < 120 and len(links) > 300
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in out} == want
+
+
+def test_coordinates_asked_for_follow_from_the_threshold():
+    asked = [minhash_dedup.matches(p) for p in (50, 70, 85, 95, 100)]
+    assert asked == sorted(asked) and asked[2] == 88 and asked[-1] == minhash_dedup.COORDS
+
+
+def test_recall_at_the_threshold_in_64_dimensions(spark):
+    r = np.random.default_rng(6)
+    rows, pairs = [], 0
+    for i in range(500):
+        a, b = r.normal(size=64), r.normal(size=64)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        c = r.uniform(0.9301, 0.95)
+        rows += [(2 * i, a.tolist(), i % 3), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist(), i % 3)]
+        pairs += 1
+    out = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(x.n_links for x in out) >= 2 * 0.95 * pairs
+
+
+def test_a_vector_of_another_length_changes_nothing(spark):
+    base = np.random.default_rng(2).normal(size=64)
+    rows = [(i, (base + 1e-3 * i).tolist(), 1) for i in range(6)] + [(50, [1.0] * 65, 1), (51, [1.0] * 65, 1), (52, [1.0] * 64 + [1.01], 1)]
+    out = {x.vec_id: x.n_links for x in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [out[i] for i in range(6)] == [5] * 6 and out[50] == out[51] == out[52] == 2
+
+
 def test_embeddings_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     r = np.random.default_rng(4)
