@@ -49,17 +49,18 @@ def tail(xs: Column, k: int) -> Column:
     return F.slice(xs, k + 1, F.greatest(F.size(xs), F.lit(1)))
 
 
+def bucket(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 64 - (BUCKETS - 1).bit_length()).cast("int")
+
+
+def ending(x: Column) -> Column:
+    return F.xxhash64(F.substring(x, -3, 3))
+
+
 def grams(w: Column, h: Column) -> Column:
-    """Buckets of words w (hashes h), of pairs of neighbouring words, and of words' endings."""
-    bits = 64 - (BUCKETS - 1).bit_length()
-    bucket = lambda x, family: F.shiftrightunsigned(x, bits).cast("int") + family * BUCKETS
-    return F.flatten(
-        F.array(
-            F.transform(h, lambda a: bucket(a, 0)),
-            F.slice(F.zip_with(h, tail(h, 1), lambda a, b: bucket(F.xxhash64(a, b), 1)), 1, F.greatest(F.size(h) - 1, F.lit(0))),
-            F.transform(w, lambda x: bucket(F.xxhash64(F.right(x, F.lit(3))), 2)),
-        )
-    )
+    """Buckets of words w (hashes h), of pairs of neighbouring words, and of words' endings, a range of numbers for each family."""
+    pairs = F.slice(F.zip_with(h, tail(h, 1), lambda a, b: bucket(F.xxhash64(a, b)) + BUCKETS), 1, F.greatest(F.size(h) - 1, F.lit(0)))
+    return F.flatten(F.array(F.transform(h, bucket), pairs, F.transform(w, lambda x: bucket(ending(x)) + 2 * BUCKETS)))
 
 
 def trusted_ids(trusted: DataFrame, most: int) -> DataFrame:
@@ -117,11 +118,11 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, mos
     ours = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ours])
     table_ = weights(docs, trusted, most)
-    w, h, g, b = fresh(docs, "_w", "_h", "_g", "_b")
+    w, h, g = fresh(docs, "_w", "_h", "_g")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn(w, words(F.col("text"))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     windows = F.slice(F.zip_with(F.zip_with(h, tail(F.col(h), 1), lambda a, b: F.xxhash64(a, b)), tail(F.col(h), 2), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - 2, F.lit(0)))
-    out = out.withColumn(g, windows).withColumn(b, grams(F.col(w), F.col(h)))
+    out = out.withColumn(g, windows)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     out = out.select(
         *docs.columns,
@@ -130,17 +131,20 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, mos
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
         repeated(F.col(g)).alias("n_repeat_words"),
-        (_score(table_, F.col(b)) if table_ else F.lit(0.0)).alias("llr"),
+        (_score(table_, F.col(w), F.col(h)) if table_ else F.lit(0.0)).alias("llr"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def _score(table_: list[float], b: Column) -> Column:
-    """Mean weight of a row's n-grams."""
-    w = F.split(F.lit(",".join(map(str, table_))), ",").cast("array<double>")
-    total = F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(w, x))
-    return F.round(total / F.greatest(F.size(b), F.lit(1)), 9)
+def _score(table_: list[float], w: Column, h: Column) -> Column:
+    """Mean weight of a row's n-grams, those of grams(w, h), each looked up where it is hashed."""
+    word, pair, end = (F.split(F.lit(",".join(map(str, table_[i * BUCKETS : (i + 1) * BUCKETS]))), ",").cast("array<double>") for i in range(FAMILIES))
+    total = F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(word, bucket(x)))
+    total = F.aggregate(w, total, lambda acc, x: acc + F.get(end, bucket(ending(x))))
+    pairs = F.slice(F.zip_with(h, tail(h, 1), lambda a, b: F.get(pair, bucket(F.xxhash64(a, b)))), 1, F.greatest(F.size(h) - 1, F.lit(0)))
+    total = F.aggregate(pairs, total, lambda acc, x: acc + x)
+    return F.round(total / F.greatest(3 * F.size(w) - 1, F.lit(1)), 9)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
