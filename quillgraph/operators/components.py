@@ -6,17 +6,25 @@ import random
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is set and they are one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base or tempfile.mkdtemp(prefix="quillgraph-")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable over pairs (a, b)."""
     links = checkpointed(pairs.select("a", "b").unionAll(pairs.select("b", "a")).distinct())
@@ -66,8 +74,9 @@ def propagate_in_order(adj: DataFrame, order: DataFrame, seed: int = 42, rounds:
         for src, dst, w in zip(frame["src"], frame["dst"], frame["w"], strict=True):
             near.setdefault(src, []).append((dst, w))
         label = {k: i for i, k in enumerate(near)}
-        keys, rng = list(near), random.Random(seed)
+        rng = random.Random(seed)
         for _ in range(rounds):
+            keys = list(near)
             rng.shuffle(keys)
             moved = False
             for k in keys:

@@ -5,12 +5,11 @@ A node or edge is an aggregate over the log of its mentions, ordered by seq, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_key, is_vague, parts, relation_name, strip
+from ..functions.text import is_vague, parts, relation_name, strip, with_keys
 from ..functions.vocabulary import COMPANY_HEAD, JUNK_RELATIONS, OFFICE, PLACE_TAIL, TYPES
 
 
@@ -23,45 +22,93 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(made)))
 
 
-def judged(facts: DataFrame, key: Callable[[Column], Column] = entity_key) -> DataFrame:
-    """facts with stripped head, relation and tail, rel (its name) and verdict: accept, or why not."""
-    out = once(facts, {c: strip(F.coalesce(c, F.lit(""))) for c in ("head", "relation", "tail")})
-    out = once(out, {"rel": relation_name(F.col("relation")), "head_key": key(F.col("head")), "tail_key": key(F.col("tail"))})
-    verdict = (
-        F.when((F.col("head") == "") | (F.col("tail") == ""), "empty").when(F.col("head") == F.col("tail"), "same_raw").when((F.length("head") > 100) | (F.length("tail") > 100) | (F.length("relation") > 60), "length")
-        .when(is_vague(F.col("head")) | is_vague(F.col("tail")), "vague").when((F.col("head_key") == "") | (F.col("tail_key") == ""), "empty_key").when(F.col("head_key") == F.col("tail_key"), "same_key")
+#: Characters of a name and of a relation at most; a name of these has fewer than PARTS parts.
+NAME, RELATION, PARTS = 100, 60, 16
+
+
+def verdict() -> Column:
+    """accept, or why not, from head, relation, tail (stripped), rel, head_key, tail_key, head_vague and tail_vague."""
+    return (
+        F.when((F.col("head") == "") | (F.col("tail") == ""), "empty").when(F.col("head") == F.col("tail"), "same_raw").when((F.length("head") > NAME) | (F.length("tail") > NAME) | (F.length("relation") > RELATION), "length")
+        .when(F.col("head_vague") | F.col("tail_vague"), "vague").when((F.col("head_key") == "") | (F.col("tail_key") == ""), "empty_key").when(F.col("head_key") == F.col("tail_key"), "same_key")
         .when(F.col("rel").isin(JUNK_RELATIONS), "junk_relation").otherwise("accept")
     )
-    return out.withColumn("verdict", verdict)
 
 
-def split_compounds(accepted: DataFrame, key: Callable[[Column], Column] = entity_key) -> DataFrame:
-    """A row for every pair of a head's and a tail's part whose keys differ and have 7 words at most: adds h, t, hk, tk, hp, tp."""
-    out = accepted.select("*", F.posexplode(parts(F.col("head"))).alias("hp", "h")).select("*", F.posexplode(parts(F.col("tail"))).alias("tp", "t"))
-    own = lambda part, whole: F.when(F.col(part) == F.col(whole), F.col(f"{whole}_key")).otherwise(key(F.col(part)))
-    out = once(out, {"hk": own("h", "head"), "tk": own("t", "tail")}).where("hk <> tk")
+def named(facts: DataFrame) -> DataFrame:
+    """(raw, name, key, vague, at, part, part_key): a row for each part of each distinct name of facts; whatever depends on a name alone is computed here."""
+    raw = facts.select(F.explode(F.array_distinct(F.array(*[F.coalesce(c, F.lit("")) for c in ("head", "tail")]))).alias("raw")).distinct()
+    rows = once(raw, {"name": strip(F.col("raw"))})
+    # Parts of names over the limit are never used, so they aren't split.
+    rows = rows.select("raw", "name", is_vague(F.col("name")).alias("vague"), F.posexplode(F.when(F.length("name") <= NAME, parts(F.col("name"))).otherwise(F.array("name"))).alias("at", "part"))
+    return with_keys(rows, {"name": "key", "part": "part_key"})
+
+
+def relations_of(facts: DataFrame) -> DataFrame:
+    """(raw_relation, relation, rel) of each distinct relation."""
+    raw = facts.select(F.coalesce("relation", F.lit("")).alias("raw_relation")).distinct()
+    return once(once(raw, {"relation": strip(F.col("raw_relation"))}), {"rel": relation_name(F.col("relation"))})
+
+
+def judged_parts(facts: DataFrame) -> DataFrame:
+    """facts with the gate's verdict, a row for every pair of a part of head and a part of tail: h, hk, hp and t, tk, tp.
+
+    Names and relations come from tables of the distinct ones, joined back: Catalyst broadcasts these while they are small.
+    """
+    names, raws = named(facts), [c for c in facts.columns if c not in ("head", "relation", "tail")]
+    side = lambda s, x: names.select(F.col("raw").alias(f"raw_{s}"), F.col("name").alias(s), F.col("key").alias(f"{s}_key"), F.col("vague").alias(f"{s}_vague"), F.col("at").alias(f"{x}p"), F.col("part").alias(x), F.col("part_key").alias(f"{x}k"))
+    rows = facts.select(*raws, *[F.coalesce(c, F.lit("")).alias(f"raw_{c}") for c in ("head", "relation", "tail")])
+    out = rows.join(relations_of(facts), "raw_relation").join(side("head", "h"), "raw_head").join(side("tail", "t"), "raw_tail")
+    return out.withColumn("verdict", verdict()).drop("raw_head", "raw_relation", "raw_tail")
+
+
+def judged(facts: DataFrame) -> DataFrame:
+    """facts with stripped head, relation and tail, rel (its name) and verdict: accept, or why not."""
+    return judged_parts(facts).where("hp = 0 and tp = 0").drop("h", "t", "hk", "tk", "hp", "tp")
+
+
+def accepted_pairs(facts: DataFrame) -> DataFrame:
+    """Of accepted facts a row for every pair of parts whose keys differ, aren't empty and have 7 words at most."""
+    out = judged_parts(facts).where("verdict = 'accept' and hk <> tk")
     return out.where((F.size(F.split("hk", " ")) <= 7) & (F.size(F.split("tk", " ")) <= 7))
 
 
-def mention_log(facts: DataFrame, key: Callable[[Column], Column] = entity_key) -> DataFrame:
+def mention_log(facts: DataFrame) -> DataFrame:
     """(seq, chunk_id, head, relation, tail keys, head_name, tail_name, head_type, tail_type) of accepted facts."""
-    pairs = split_compounds(judged(facts, key).where("verdict = 'accept'"), key)
-    return pairs.select(
-        (F.col("seq") * 64 + F.least(F.col("hp"), F.lit(7)) * 8 + F.least(F.col("tp"), F.lit(7))).alias("seq"), "chunk_id", F.col("hk").alias("head"), F.col("rel").alias("relation"), F.col("tk").alias("tail"),
+    return accepted_pairs(facts).select(
+        (F.col("seq") * PARTS * PARTS + F.col("hp") * PARTS + F.col("tp")).alias("seq"), "chunk_id", F.col("hk").alias("head"), F.col("rel").alias("relation"), F.col("tk").alias("tail"),
         F.col("h").alias("head_name"), F.col("t").alias("tail_name"), "head_type", "tail_type",
     )
 
 
+def compact(facts: DataFrame) -> DataFrame:
+    """facts without their chunks, each distinct one once, with its number and first and last seq: what gates, keys and counts work on."""
+    keys = ("head", "relation", "tail", "head_type", "tail_type")
+    return facts.groupBy(*keys).agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def mentions(facts: DataFrame) -> DataFrame:
+    """mention_log of compact(facts): (head, relation, tail, head_name, tail_name, head_type, tail_type, n, first, last)."""
+    pairs = accepted_pairs(compact(facts))
+    seq = lambda c: (F.col(c) * PARTS * PARTS + F.col("hp") * PARTS + F.col("tp")).alias(c)
+    return pairs.select(F.col("hk").alias("head"), F.col("rel").alias("relation"), F.col("tk").alias("tail"), F.col("h").alias("head_name"), F.col("t").alias("tail_name"), "head_type", "tail_type", "n", seq("first"), seq("last"))
+
+
+def _counted(log: DataFrame) -> DataFrame:
+    return log if "n" in log.columns else log.withColumns({"n": F.lit(1).cast("long"), "first": F.col("seq"), "last": F.col("seq")})
+
+
 def nodes(log: DataFrame) -> DataFrame:
-    """(key, display, type, mentions, aliases, node_seq): the longest name, first on ties; the last valid type, else the first."""
-    ends = log.select(F.inline(F.array(*[F.struct(F.col(s).alias("key"), F.col(f"{s}_name").alias("name"), F.col(f"{s}_type").alias("type"), (F.col("seq") * 2 + i).alias("mseq")) for i, s in enumerate(("head", "tail"))])))
+    """(key, display, type, mentions, aliases, node_seq) of a mention log or of mentions(): the longest name, first on ties; the last valid type, else the first."""
+    at = lambda c, i: (F.col(c) * 2 + i).alias(c)
+    ends = _counted(log).select(F.inline(F.array(*[F.struct(F.col(s).alias("key"), F.col(f"{s}_name").alias("name"), F.col(f"{s}_type").alias("type"), F.col("n"), at("first", i), at("last", i)) for i, s in enumerate(("head", "tail"))])))
     valid = F.col("type").isin([t for t in TYPES if t != "MISC"])
     return ends.groupBy("key").agg(
-        F.max_by("name", F.struct(F.length("name"), -F.col("mseq"))).alias("display"),
-        F.coalesce(F.max_by(F.when(valid, F.col("type")), F.when(valid, F.col("mseq"))), F.min_by("type", "mseq")).alias("type"),
-        F.count("*").alias("mentions"),
+        F.max_by("name", F.struct(F.length("name"), -F.col("first"))).alias("display"),
+        F.coalesce(F.max_by(F.when(valid, F.col("type")), F.when(valid, F.col("last"))), F.min_by("type", "first")).alias("type"),
+        F.sum("n").alias("mentions"),
         F.array_sort(F.collect_set("name")).alias("aliases"),
-        F.min("mseq").alias("node_seq"),
+        F.min("first").alias("node_seq"),
     )
 
 
@@ -74,8 +121,14 @@ def edges(log: DataFrame) -> DataFrame:
 
 
 def edge_counts(log: DataFrame) -> DataFrame:
-    """Edges without their chunks: nothing but partial aggregates is shuffled."""
-    return log.groupBy("head", "relation", "tail").agg(F.count("*").alias("mentions"), F.min("seq").alias("edge_seq"))
+    """Edges of a mention log or of mentions(), without their chunks: nothing but partial aggregates is shuffled."""
+    return _counted(log).groupBy("head", "relation", "tail").agg(F.sum("n").alias("mentions"), F.min("first").alias("edge_seq"))
+
+
+def edge_sizes(log: DataFrame) -> DataFrame:
+    """Edges with the number of their chunks: chunks are counted, never gathered."""
+    by_chunk = log.groupBy("head", "relation", "tail", "chunk_id").agg(F.count("*").alias("n"), F.min("seq").alias("s"))
+    return by_chunk.groupBy("head", "relation", "tail").agg(F.sum("n").alias("mentions"), F.count("chunk_id").alias("n_chunks"), F.min("s").alias("edge_seq"))
 
 
 def backfilled(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
@@ -92,7 +145,8 @@ def backfilled(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
 
 
 def degrees(edges_: DataFrame) -> DataFrame:
-    return edges_.select(F.explode(F.array("head", "tail")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+    """(key, degree, first_seen): first_seen orders nodes as a reader of the edges meets them."""
+    return edges_.select(F.posexplode(F.array("head", "tail")).alias("i", "key"), "edge_seq").groupBy("key").agg(F.count("*").alias("degree"), F.min(F.struct("edge_seq", "i")).alias("first_seen"))
 
 
 def stats(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
@@ -108,7 +162,7 @@ def relation_histogram(edges_: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top_hubs(edges_: DataFrame, k: int = 8) -> DataFrame:
-    return degrees(edges_).orderBy(F.col("degree").desc(), "key").limit(k)
+    return degrees(edges_).orderBy(F.col("degree").desc(), "first_seen", "key").limit(k).select("key", "degree")
 
 
 def adjacency(edges_: DataFrame) -> DataFrame:
@@ -118,17 +172,39 @@ def adjacency(edges_: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def vis_subgraph(edges_: DataFrame, labels: DataFrame, min_mentions: int = 2, max_nodes: int = 400) -> DataFrame:
-    """Edges of at least min_mentions among the max_nodes nodes of the highest degree, dashed across communities."""
+def vis_edges(edges_: DataFrame, min_mentions: int = 2, max_nodes: int = 400) -> DataFrame:
+    """Edges of at least min_mentions among the max_nodes nodes of the highest degree, the first seen on ties."""
     some = edges_.where(F.col("mentions") >= min_mentions)
-    keep = some.select(F.explode(F.array("head", "tail")).alias("key")).groupBy("key").agg(F.count("*").alias("degree")).orderBy(F.col("degree").desc(), "key").limit(max_nodes).select("key")
-    inside = some.join(keep.withColumnRenamed("key", "head"), "head", "left_semi").join(keep.withColumnRenamed("key", "tail"), "tail", "left_semi")
+    keep = degrees(some).orderBy(F.col("degree").desc(), "first_seen", "key").limit(max_nodes).select("key")
+    return some.join(keep.withColumnRenamed("key", "head"), "head", "left_semi").join(keep.withColumnRenamed("key", "tail"), "tail", "left_semi")
+
+
+def vis_subgraph(edges_: DataFrame, labels: DataFrame, min_mentions: int = 2, max_nodes: int = 400) -> DataFrame:
+    """vis_edges, dashed across communities, with the width of a line."""
     own = lambda s: labels.select(F.col("key").alias(s), F.col("label").alias(f"{s}_label"))
-    out = inside.join(own("head"), "head", "left").join(own("tail"), "tail", "left")
+    out = vis_edges(edges_, min_mentions, max_nodes).join(own("head"), "head", "left").join(own("tail"), "tail", "left")
     dashed = F.coalesce(F.col("head_label") != F.col("tail_label"), F.lit(False))
     return out.select("head", "relation", "tail", "mentions", dashed.alias("dashed"), F.round(1 + F.least(F.col("mentions"), F.lit(8)) * 0.6, 6).alias("width"))
 
 
+def vis_nodes(nodes_: DataFrame, inside: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, label, title, group, size) of the nodes of vis_edges: group is C and the community's number, Cnone without one."""
+    keep = inside.select(F.explode(F.array("head", "tail")).alias("key")).distinct()
+    out = nodes_.join(keep, "key").join(labels.select("key", F.col("label").alias("community")), "key", "left")
+    group = F.concat(F.lit("C"), F.coalesce(F.col("community").cast("string"), F.lit("none")))
+    title = F.format_string("%s | type: %s | mentions: %d | aliases: %s", "display", "type", "mentions", F.array_join(F.slice("aliases", 1, 5), ", "))
+    return out.select("key", F.col("display").alias("label"), title.alias("title"), group.alias("group"), F.round(6 + F.least(F.col("mentions"), F.lit(40)) * F.lit(0.7).cast("double"), 6).alias("size"))
+
+
+def legend(vis: DataFrame, members: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(group, names, summary) of the groups of vis_nodes in numeric order, Cnone last: four main members and 90 characters of the summary (id, summary)."""
+    top = members.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.col("mentions").desc(), "node_seq"))).where("r <= 4")
+    top = top.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "display"))), lambda x: x["display"]), ", ").alias("names"))
+    about = top.join(summaries, "id", "left").select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("group"), "names", F.substring(F.coalesce("summary", F.lit("")), 1, 90).alias("summary"))
+    out = vis.select("group").distinct().join(about, "group", "left").na.fill("", ["names", "summary"])
+    return out.orderBy(F.coalesce(F.regexp_extract("group", "^C([0-9]+)$", 1).try_cast("int"), F.lit(999)), "group")
+
+
 def modularity(adj: DataFrame, labels: DataFrame) -> DataFrame:
     """(modularity): of communities (key, label) over undirected weights (src, dst, w); 0 for no edges."""
     own = lambda s: labels.select(F.col("key").alias(s), F.col("label").alias(f"{s}_label"))

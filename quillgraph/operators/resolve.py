@@ -54,12 +54,24 @@ def renamed(log: DataFrame, key_map: DataFrame) -> DataFrame:
     return out.withColumns({s: F.coalesce(f"{s}_canon", s) for s in ("head", "tail")}).drop("head_canon", "tail_canon").withColumns({"head_type": F.lit("MISC"), "tail_type": F.lit("MISC")})
 
 
-def context(edges: DataFrame, k: int = 5) -> DataFrame:
-    """(key, context): a node's first k edges, as text for the judge."""
-    line = F.concat_ws(" ", "head", "relation", "tail")
-    ends = edges.select("edge_seq", line.alias("line"), F.explode(F.array_distinct(F.array("head", "tail"))).alias("key"))
-    first = ends.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("edge_seq", "line"))).where(F.col("r") <= k)
-    return first.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "; ").alias("context"))
+def context(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """(key, context): a node's name, type, mentions and first k edges, each with its direction and the other node's name, as text for the judge."""
+    names = nodes.select(F.col("key").alias("other"), "display")
+    out, back = F.struct(F.col("head").alias("key"), F.lit(True).alias("leaves"), F.col("tail").alias("other")), F.struct(F.col("tail").alias("key"), F.lit(False).alias("leaves"), F.col("head").alias("other"))
+    # A loop counts once, as an edge that leaves.
+    ends = edges.select("edge_seq", "relation", F.inline(F.when(F.col("head") == F.col("tail"), F.array(out)).otherwise(F.array(out, back))))
+    first = ends.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("edge_seq", "relation", "other"))).where(F.col("r") <= k).join(names, "other", "left")
+    other = F.coalesce("display", "other")
+    line = F.when(F.col("leaves"), F.format_string("%s -> %s", "relation", other)).otherwise(F.format_string("<- %s from %s", "relation", other))
+    joined = first.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))), lambda x: x["line"]), "; ").alias("edges"))
+    text = F.format_string('"%s" (type=%s, mentions=%d) | edges: %s', "display", "type", "mentions", F.coalesce("edges", F.lit("(no edges)")))
+    return nodes.join(joined, "key", "left").select("key", text.alias("context"))
+
+
+def with_displays(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nominations (a, b, score) with both names."""
+    own = lambda s: nodes.select(F.col("key").alias(s), F.col("display").alias(f"{s}_name"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "a_name", "b_name", "score")
 
 
 def judged_groups(batches_: DataFrame, judge) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,22 +16,12 @@ from ..operators import search as S
 from ..operators import spans as N
 from ..sources.tables import facts, table
 from . import sql as Q
+from .fixtures import ACCENTED, ACCENTED_KEYS, MENTIONS, TOY, TOY_SEED
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 SEED = "supplier 000000001"
 
-#: (id, head, relation, tail): mentions that meet every rule of the gate.
-MENTIONS = [
-    (1, "Elon Musk", "CEO_OF", "Tesla, Inc."), (2, "other automakers", "COMPETES_WITH", "Tesla"), (3, "the other automakers", "COMPETES_WITH", "Tesla"), (4, "Tesla", "R", "Tesla"), (5, "Tesla", "R", "Tesla Inc"),
-    (6, "x" * 101, "R", "Tesla"), (7, "Tesla", "r" * 61, "BYD"), (8, "Tesla", "in", "Austin"), (9, "Martin Eberhard and Marc Tarpenning", "FOUNDED", "Tesla"), (10, "Ann and Bob", "KNOWS", "Cat and Dan"), (11, "Al and Bo", "R", "Tesla"),
-    (12, "Tesla and SolarCity", "OWNS", "Tesla"), (13, "The and Foo Bar", "R", "Tesla"), (14, "A one two three four five six seven eight", "R", "Tesla"), (15, "Company X", "R", "Tesla"), (16, "  ", "R", "Tesla"), (17, "!!!", "R", "Tesla"), (18, "Customer#000000001", "LOCATED_IN", "NATION_0"), (19, "Apple Inc LLC", "is CEO of", "The Bank of the West"), (20, "BP plc", "***", "AT&T"),
-]
-#: (chunk, head, relation, tail) of the small worked example.
-TOY = [
-    ("chunk_1", "Sarah Chen", "CEO_OF", "Helios Energy"), ("chunk_1", "Helios Energy", "LOCATED_IN", "Austin"), ("chunk_2", "Helios Energy", "SIGNED_CONTRACT_WITH", "Vertex Manufacturing"), ("chunk_3", "Vertex Manufacturing", "SUBSIDIARY_OF", "Titan Industrial"),
-    ("chunk_3", "Vertex Manufacturing", "HEADQUARTERED_IN", "Detroit"), ("chunk_4", "Sarah Chen", "FORMER_EMPLOYEE_OF", "Titan Industrial"), ("chunk_5", "Dr. Patel", "CHIEF_SCIENTIST_OF", "Helios Energy"), ("chunk_5", "Dr. Patel", "CO_AUTHORED_WITH", "Dr. Lopez"), ("chunk_5", "Dr. Lopez", "LEADS_RESEARCH_AT", "Vertex Manufacturing"),
-]
 _ROWS = ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in MENTIONS)
 _TOY = ", ".join("(" + ", ".join(f"'{x}'" for x in r[1:]) + ")" for r in TOY)
 
@@ -47,16 +36,28 @@ def query(sql: str | None = None):
     return add
 
 
+def every_fact(spark, sf_dir):
+    """The tables' facts, and some with names beyond ASCII."""
+    own = spark.createDataFrame(ACCENTED, "seq long, head string, relation string, tail string, head_type string, tail_type string")
+    return facts(spark, sf_dir).unionByName(own.withColumn("chunk_id", F.concat(F.lit("extra::"), "seq")))
+
+
 def log(spark, sf_dir):
-    return G.mention_log(facts(spark, sf_dir))
+    return G.mention_log(every_fact(spark, sf_dir))
 
 
 def graph(spark, sf_dir):
-    """Nodes and edges; the mention log is planned once and its exchanges reused."""
-    own = log(spark, sf_dir)
+    """Nodes and edges, both from the distinct facts with their numbers: that exchange is reused, and all that follows is small."""
+    own = G.mentions(every_fact(spark, sf_dir))
     return G.nodes(own), G.edge_counts(own)
 
 
+def fixture_and_facts(spark, sf_dir) -> DataFrame:
+    """(id, head, relation, tail, ...): the fixture, and the tables' distinct facts (id: 1000 and their first seq)."""
+    own = G.compact(facts(spark, sf_dir)).select((F.col("first") + 1000).alias("id"), "head", "relation", "tail")
+    return fixture(spark).select(F.col("id").cast("long").alias("id"), "head", "relation", "tail").unionByName(own)
+
+
 def fixture(spark) -> DataFrame:
     return spark.createDataFrame(MENTIONS, "id int, head string, relation string, tail string").withColumns({"seq": F.col("id").cast("long"), "chunk_id": F.lit("c"), "head_type": F.lit("MISC"), "tail_type": F.lit("MISC")})
 
@@ -77,7 +78,8 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark, sf_dir):
-    chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunk_text()(T.clean_text(F.col("text")))).alias("chunk_ord", "text"))
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("c"))
+    chunks = cleaned.select("doc_id", F.posexplode(T.chunk_text(F.col("c"))).alias("chunk_ord", "text"))
     return chunks.select("doc_id", "chunk_ord", F.concat_ws("::", "doc_id", "chunk_ord").alias("chunk_id"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -88,11 +90,11 @@ def chunk_overlap(spark, sf_dir):
     return rows.select("conv_id", "turn", F.when(F.col("before").isNull(), F.col("text")).otherwise(F.concat(F.right("before", F.lit(150)), F.lit(" "), F.col("text"))).alias("text"))
 
 
-@query(f"WITH {Q.FACTS}, v(id, h, r, t) AS (VALUES {_ROWS}), n AS (SELECT head AS name FROM facts UNION SELECT tail FROM facts UNION SELECT h FROM v UNION SELECT t FROM v) SELECT name, {Q.key('name')} AS key FROM n")
+@query(f"WITH {Q.FACTS}, v(id, h, r, t) AS (VALUES {_ROWS}), n AS (SELECT head AS name FROM facts UNION SELECT tail FROM facts UNION SELECT h FROM v UNION SELECT t FROM v) SELECT name, {Q.key('name')} AS key FROM n UNION ALL SELECT * FROM (VALUES {Q.values(ACCENTED_KEYS.items())}) x")
 def normalize_entities(spark, sf_dir):
-    own = facts(spark, sf_dir).select("head", "tail").unionByName(fixture(spark).select("head", "tail"))
+    own = every_fact(spark, sf_dir).select("head", "tail").unionByName(fixture(spark).select("head", "tail"))
     names = own.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
-    return names.select("name", T.entity_key(F.col("name")).alias("key"))
+    return T.with_keys(names, {"name": "key"})
 
 
 @query(f"SELECT relation, {Q.relation('relation')} AS name, {Q.canonical(Q.relation('relation'))} AS canonical FROM (SELECT DISTINCT event_type || ' of-the  thing' AS relation FROM events UNION SELECT r FROM (VALUES {_ROWS}) v(id, h, r, t) UNION SELECT * FROM (VALUES ('co-founded'), ('__x__'), ('works for'), ('\" in \"')) x)")
@@ -101,14 +103,14 @@ def normalize_relations(spark, sf_dir):
     return own.select("relation", T.relation_name(F.col("relation")).alias("name"), T.canonical_relation(F.col("relation")).alias("canonical"))
 
 
-@query(f"WITH {Q.gate(_ROWS)} SELECT id, rel, hk AS head_key, tk AS tail_key, verdict FROM judged")
+@query(f"WITH {Q.FACTS}, {Q.gate(_ROWS)} SELECT id, rel, hk AS head_key, tk AS tail_key, verdict FROM judged")
 def triple_gate_rejects(spark, sf_dir):
-    return G.judged(fixture(spark)).select("id", "rel", "head_key", "tail_key", "verdict")
+    return G.judged(fixture_and_facts(spark, sf_dir)).select("id", "rel", "head_key", "tail_key", "verdict")
 
 
-@query(f"WITH {Q.gate(_ROWS)} SELECT id, head, relation, tail FROM split WHERE head <> tail AND len(string_split(head, ' ')) <= 7 AND len(string_split(tail, ' ')) <= 7")
+@query(f"WITH {Q.FACTS}, {Q.gate(_ROWS)} SELECT id, head, relation, tail FROM split WHERE head <> tail AND len(string_split(head, ' ')) <= 7 AND len(string_split(tail, ' ')) <= 7")
 def compound_split(spark, sf_dir):
-    return G.split_compounds(G.judged(fixture(spark)).where("verdict = 'accept'")).select("id", F.col("hk").alias("head"), F.col("rel").alias("relation"), F.col("tk").alias("tail"))
+    return G.accepted_pairs(fixture_and_facts(spark, sf_dir)).select("id", F.col("hk").alias("head"), F.col("rel").alias("relation"), F.col("tk").alias("tail"))
 
 
 # ---- graph
@@ -116,12 +118,12 @@ def compound_split(spark, sf_dir):
 
 @query(f"WITH {Q.GRAPH} SELECT * FROM nodes")
 def kg_nodes(spark, sf_dir):
-    return G.nodes(log(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", "|"))
+    return graph(spark, sf_dir)[0].withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query(f"WITH {Q.GRAPH} SELECT * FROM edges")
 def kg_edges(spark, sf_dir):
-    return G.edges(log(spark, sf_dir)).select("head", "relation", "tail", "mentions", F.size("source_chunks").cast("long").alias("n_chunks"), "edge_seq")
+    return G.edge_sizes(log(spark, sf_dir))
 
 
 @query(f"WITH {Q.LOG}, c AS (SELECT head, relation, tail, chunk_id, min(seq) AS s FROM log GROUP BY ALL) SELECT head, relation, tail, md5(string_agg(chunk_id, '|' ORDER BY s, chunk_id)) AS chunks FROM c GROUP BY ALL")
@@ -139,7 +141,7 @@ def kg_stats(spark, sf_dir):
     return G.stats(*graph(spark, sf_dir))
 
 
-@query(f"WITH {Q.GRAPH} SELECT key, count(*) AS degree FROM (SELECT head AS key FROM edges UNION ALL SELECT tail FROM edges) GROUP BY key ORDER BY degree DESC, key LIMIT 8")
+@query(f"WITH {Q.GRAPH} SELECT key, count(*) AS degree FROM (SELECT head AS key, edge_seq * 2 AS s FROM edges UNION ALL SELECT tail, edge_seq * 2 + 1 FROM edges) GROUP BY key ORDER BY degree DESC, min(s) LIMIT 8")
 def kg_top_hubs(spark, sf_dir):
     return G.top_hubs(graph(spark, sf_dir)[1])
 
@@ -213,13 +215,21 @@ m AS (SELECT key, canon FROM parts JOIN canon USING (component)) SELECT coalesce
 def merged_edges(spark, sf_dir):
     nodes, _, parts = parts_of(spark, sf_dir)
     key_map = R.canonical(parts.select(F.col("component").alias("group"), "key"), nodes)
-    return G.edge_counts(R.renamed(log(spark, sf_dir), key_map)).drop("edge_seq")
+    return G.edge_counts(R.renamed(G.mentions(every_fact(spark, sf_dir)), key_map)).drop("edge_seq")
 
 
-@query(f"""WITH {Q.GRAPH}, e AS (SELECT DISTINCT key, edge_seq, line FROM (SELECT head AS key, edge_seq, head || ' ' || relation || ' ' || tail AS line FROM edges UNION ALL SELECT tail, edge_seq, head || ' ' || relation || ' ' || tail FROM edges)),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY edge_seq, line) AS r FROM e) SELECT key, string_agg(line, '; ' ORDER BY r) AS context FROM r WHERE r <= 5 GROUP BY key""")
+@query(f"""WITH {Q.GRAPH}, e AS (SELECT head AS key, edge_seq, relation, tail AS other, relation || ' -> ' || n.display AS line FROM edges JOIN nodes n ON tail = n.key
+  UNION ALL SELECT tail, edge_seq, relation, head, '<- ' || relation || ' from ' || n.display FROM edges JOIN nodes n ON head = n.key WHERE head <> tail),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY edge_seq, relation, other) AS r FROM e), c AS (SELECT key, string_agg(line, '; ' ORDER BY r) AS edges FROM r WHERE r <= 5 GROUP BY key)
+SELECT key, '"' || display || '" (type=' || type || ', mentions=' || mentions || ') | edges: ' || coalesce(c.edges, '(no edges)') AS context FROM nodes LEFT JOIN c USING (key)""")
 def entity_context(spark, sf_dir):
-    return R.context(graph(spark, sf_dir)[1])
+    return R.context(*graph(spark, sf_dir))
+
+
+@query(f"WITH {Q.BLOCKED} SELECT a, b, x.display AS a_name, y.display AS b_name, round(score, 3) AS score FROM scored JOIN nodes x ON a = x.key JOIN nodes y ON b = y.key WHERE score >= 0.5")
+def nominations_named(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return R.with_displays(R.nominations(nodes, edges), nodes).withColumn("score", F.round("score", 3))
 
 
 # ---- communities
@@ -280,7 +290,8 @@ def modularity(spark, sf_dir):
 x AS (SELECT mention, key, mentions, node_seq FROM k JOIN nodes ON key = mk), y AS (SELECT * FROM x UNION ALL SELECT mention, key, mentions, node_seq FROM k JOIN nodes ON contains(key, mk) OR contains(mk, key) WHERE mention NOT IN (SELECT mention FROM x))
 SELECT mention, first(key ORDER BY mentions DESC, node_seq) AS key FROM y GROUP BY mention""")
 def link_entities(spark, sf_dir):
-    asked = spark.createDataFrame([("Supplier#000000001",), ("The NATION_3 Inc",), ("000000002",), ("no such thing",)], "mention string").withColumn("mention_key", T.entity_key(F.col("mention")))
+    asked = spark.createDataFrame([("Supplier#000000001",), ("The NATION_3 Inc",), ("000000002",), ("no such thing",)], "mention string")
+    asked = T.with_keys(asked, {"mention": "mention_key"})
     return S.link(asked, graph(spark, sf_dir)[0])
 
 
@@ -305,8 +316,8 @@ def local_hop2(spark, sf_dir):
 
 @query(f"WITH {_HOPS} SELECT head, relation, tail, n_chunks, CAST((head = '{SEED}') AS INTEGER) + CAST((tail = '{SEED}') AS INTEGER) AS touches FROM found ORDER BY touches DESC, n_chunks DESC, edge_seq, head, relation, tail LIMIT 40")
 def ranked_facts(spark, sf_dir):
-    found = S.evidence(G.edges(log(spark, sf_dir)), seeds(spark), 2)
-    return S.ranked(found, seeds(spark)).select("head", "relation", "tail", F.col("n_chunks").cast("long").alias("n_chunks"), "touches")
+    found = S.evidence(G.edge_sizes(log(spark, sf_dir)), seeds(spark), 2)
+    return S.ranked(found, seeds(spark)).select("head", "relation", "tail", "n_chunks", "touches")
 
 
 @query(f"WITH {_HOPS} SELECT DISTINCT chunk_id FROM log JOIN one USING (head, relation, tail)")
@@ -315,10 +326,10 @@ def evidence_chunks(spark, sf_dir):
     return own.join(S.evidence(G.edge_counts(own), seeds(spark), 1), ["head", "relation", "tail"], "left_semi").select("chunk_id").distinct()
 
 
-@query(f"""WITH e(head, relation, tail) AS (VALUES {_TOY}), n AS (SELECT * FROM e WHERE head = 'Helios Energy' OR tail = 'Helios Energy'), o AS (SELECT CASE WHEN head = 'Helios Energy' THEN tail ELSE head END AS head FROM n)
-SELECT * FROM n UNION SELECT * FROM e WHERE head IN (SELECT head FROM o) AND tail <> 'Helios Energy'""")
+@query(f"""WITH e(head, relation, tail) AS (VALUES {_TOY}), n AS (SELECT * FROM e WHERE head = '{TOY_SEED}' OR tail = '{TOY_SEED}'), o AS (SELECT CASE WHEN head = '{TOY_SEED}' THEN tail ELSE head END AS head FROM n)
+SELECT * FROM n UNION SELECT * FROM e WHERE head IN (SELECT head FROM o) AND tail <> '{TOY_SEED}'""")
 def toy_two_hop(spark, sf_dir):
-    return S.outgoing_two_hops(spark.createDataFrame(TOY, "chunk string, head string, relation string, tail string").drop("chunk"), "Helios Energy")
+    return S.outgoing_two_hops(spark.createDataFrame(TOY, "chunk string, head string, relation string, tail string").drop("chunk"), TOY_SEED)
 
 
 @query("SELECT id, score FROM (SELECT p_partkey AS id, CAST(greatest(0, least(100, p_size * 3 - 20)) AS INTEGER) AS score FROM part ORDER BY score DESC, id LIMIT 5) WHERE score >= 20")
@@ -327,8 +338,8 @@ def global_topk(spark, sf_dir):
 
 
 @query(f"""WITH {Q.GRAPH}, l AS (SELECT key, {Q.KINDS} AS label FROM nodes), part_ AS (SELECT * FROM edges WHERE mentions >= 2),
-keep AS (SELECT key FROM (SELECT head AS key FROM part_ UNION ALL SELECT tail FROM part_) GROUP BY key ORDER BY count(*) DESC, key LIMIT 100)
-SELECT head, relation, tail, mentions, h.label <> t.label AS dashed, round(1 + least(mentions, 8) * 0.6, 6) AS width FROM part_ JOIN l h ON head = h.key JOIN l t ON tail = t.key WHERE head IN (FROM keep) AND tail IN (FROM keep)""")
+keep AS (SELECT key FROM (SELECT head AS key, edge_seq * 2 AS s FROM part_ UNION ALL SELECT tail, edge_seq * 2 + 1 FROM part_) GROUP BY key ORDER BY count(*) DESC, min(s) LIMIT 100)
+SELECT head, relation, tail, mentions, h.label <> t.label AS dashed, CAST(round(1 + least(mentions, 8) * 0.6, 6) AS DOUBLE) AS width FROM part_ JOIN l h ON head = h.key JOIN l t ON tail = t.key WHERE head IN (FROM keep) AND tail IN (FROM keep)""")
 def vis_subgraph(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
     return G.vis_subgraph(edges, kinds(nodes).select("key", "label"), 2, 100)
@@ -392,15 +403,11 @@ def model_answers(spark, sf_dir):
 # ---- vectors and streams
 
 
-@query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY cosine DESC, vec_id LIMIT 20")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), r AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS cosine FROM e JOIN e q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS r FROM r) WHERE r <= 20""")
 def vector_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    probe = [float(x) for x in rows.orderBy("vec_id").first().embedding]
-    p = F.array(*[F.lit(x) for x in probe])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    e = F.col("embedding")
-    cosine = F.round(dot(e, p) / (F.sqrt(dot(e, e)) * F.sqrt(dot(p, p))), 6)
-    return rows.select("vec_id", cosine.alias("cosine")).orderBy(F.col("cosine").desc(), "vec_id").limit(20)
+    return S.vector_topk(rows, rows.where("vec_id % 50 = 0"))
 
 
 @query("SELECT 'c' || doc_id AS chunk_id, 1 AS n_triples FROM documents")
@@ -408,8 +415,7 @@ def stream_resume(spark, sf_dir):
     """Two runs of the stream over files that overlap: every chunk is extracted once."""
     from ..streaming.ingest import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{C.shared_base(spark)}/stream-{uuid.uuid4().hex}"
     chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("source").alias("doc"), "text")
     fact = F.struct(F.col("doc").alias("head"), F.lit("NAMES").alias("relation"), F.col("text").alias("tail"))
     extract = lambda c: c.select("chunk_id", "doc", F.array(fact).alias("triples"), F.array().cast("array<struct<name:string,type:string>>").alias("entities"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fixtures import ACCENTED, ACCENTED_KEYS
 from ..functions.vocabulary import ALIASES, ARTICLES, COMPANY_HEAD, JUNK_RELATIONS, OFFICE, PLACE_TAIL, PRODUCT_RELATIONS, RELATION_LABELS, SUFFIXES, TYPES, UNSUPPORTED, VAGUE
 
 
@@ -15,6 +16,10 @@ def key(x: str) -> str:
     return f"regexp_replace({kept}, '^(\\S+(?: \\S+)*?)(?: (?:{'|'.join(SUFFIXES)}))+$', '\\1')"
 
 
+def values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -40,8 +45,10 @@ FACTS = """facts AS (
   UNION ALL SELECT 1000000 + p_partkey * 2 + 1, 'part::' || p_partkey, string_split(p_name, ' ')[2], 'PRODUCES', p_name, 'MISC', 'PRODUCT' FROM part WHERE string_split(p_name, ' ')[2] IS NOT NULL
   UNION ALL SELECT 10000000000 + l_orderkey * 100 + l_linenumber * 2, 'order::' || l_orderkey, s_name, 'LOCATED_IN', n_name, 'MISC', 'MISC' FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT 10000000000 + l_orderkey * 100 + l_linenumber * 2 + 1, 'order::' || l_orderkey, s_name, 'SUPPLIES', p_name, 'MISC', 'PRODUCT' FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
-LOG = f"""{FACTS}, names AS (SELECT name, {key('name')} AS key FROM (SELECT head AS name FROM facts UNION SELECT tail FROM facts)),
-log AS (SELECT seq * 64 AS seq, chunk_id, h.key AS head, relation, t.key AS tail, head AS head_name, f.tail AS tail_name, head_type, tail_type
+EVERY = FACTS[:-1] + f"\n  UNION ALL SELECT seq, 'extra::' || seq, head, relation, tail, ht, tt FROM (VALUES {values(ACCENTED)}) x(seq, head, relation, tail, ht, tt))"
+#: Keys of names beyond ASCII are given, not computed.
+LOG = f"""{EVERY}, given(name, key) AS (VALUES {values(ACCENTED_KEYS.items())}), names AS (SELECT name, coalesce(given.key, {key('name')}) AS key FROM (SELECT head AS name FROM facts UNION SELECT tail FROM facts) LEFT JOIN given USING (name)),
+log AS (SELECT seq * 256 AS seq, chunk_id, h.key AS head, relation, t.key AS tail, head AS head_name, f.tail AS tail_name, head_type, tail_type
   FROM facts f JOIN names h ON f.head = h.name JOIN names t ON f.tail = t.name WHERE h.key <> t.key)"""
 GRAPH = f"""{LOG},
 ends AS (SELECT head AS key, head_name AS name, head_type AS type, seq * 2 AS mseq FROM log UNION ALL SELECT tail, tail_name, tail_type, seq * 2 + 1 FROM log),
@@ -80,7 +87,7 @@ KINDS = "CASE WHEN key LIKE 'supplier%' THEN 0 WHEN key LIKE 'nation%' THEN 1 WH
 def gate(rows: str) -> str:
     """CTEs judged and split over VALUES rows (id, head, relation, tail)."""
     vague = "|".join(VAGUE)
-    return f"""v(id, h0, r0, t0) AS (VALUES {rows}),
+    return f"""v(id, h0, r0, t0) AS (SELECT * FROM (VALUES {rows}) x UNION ALL SELECT min(seq) + 1000, head, relation, tail FROM facts GROUP BY head, relation, tail, head_type, tail_type),
 s AS (SELECT id, {strip('h0')} AS head, {strip('r0')} AS rel0, {strip('t0')} AS tail FROM v),
 k AS (SELECT *, {relation('rel0')} AS rel, {key('head')} AS hk, {key('tail')} AS tk FROM s),
 judged AS (SELECT *, CASE WHEN head = '' OR tail = '' THEN 'empty' WHEN head = tail THEN 'same_raw' WHEN length(head) > 100 OR length(tail) > 100 OR length(rel0) > 60 THEN 'length'

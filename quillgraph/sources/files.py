@@ -54,10 +54,15 @@ def read_failed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("chunk_id"))
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """(doc, chars, num_chunks, chunks_preview) of chunks (doc, chunk_ord, text): the first 80 characters of a document's first chunk."""
-    own = chunks.groupBy("doc").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("num_chunks"), F.min_by("text", "chunk_ord").alias("first"))
-    own.select("doc", "chars", "num_chunks", F.concat(F.substring("first", 1, 80), F.lit("...")).alias("chunks_preview")).write.mode("overwrite").json(path)
+def index(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc, chars, num_chunks, chunks_preview) of docs (doc, text) and their chunks (doc, chunk_ord, text): the first 120 characters of the first chunk, "" without one."""
+    own = chunks.groupBy("doc").agg(F.count("*").alias("num_chunks"), F.min_by("text", "chunk_ord").alias("first"))
+    preview = F.coalesce(F.concat(F.substring("first", 1, 120), F.lit("...")), F.lit(""))
+    return docs.select("doc", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")).join(own, "doc", "left").select("doc", "chars", F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"), preview.alias("chunks_preview"))
+
+
+def write_index(docs: DataFrame, chunks: DataFrame, path: str) -> None:
+    index(docs, chunks).write.mode("overwrite").json(path)
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
