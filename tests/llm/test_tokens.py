@@ -43,6 +43,15 @@ def test_native_fold_gives_the_same_ids(spark):
     assert {r.word: r.ids for r in out.collect()} == {w: enc.encode_ordinary(w) for w in words}
 
 
+def test_native_form_gives_the_library_s_ids_on_the_whole_vocabulary(spark):
+    some = [(i, t) for i, t in enumerate(texts()) if t is None or len(t) < 400]
+    out = {r.doc_id: r for r in byte_bpe.encode_native(spark.createDataFrame(some, "doc_id long, text string"), bits=6).collect()}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(byte_bpe.rank_file()), special_tokens={})
+    for i, t in some:
+        ids = enc.encode_ordinary(t or "")
+        assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
 def test_token_files_round_trip(spark, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     folder = f"file://{tmp_path}/shards"
