@@ -57,6 +57,11 @@ def ending(x: Column) -> Column:
     return F.xxhash64(F.substring(x, -3, 3))
 
 
+def joined(xs: Column, h: Column, k: int) -> Column:
+    """Hashes of xs, each with the word k places on, for as long as h, the words' hashes, goes."""
+    return F.slice(F.zip_with(xs, tail(h, k), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - k, F.lit(0)))
+
+
 def grams(w: Column, h: Column) -> Column:
     """Buckets of words w (hashes h), of pairs of neighbouring words, and of words' endings, a range of numbers for each family."""
     pairs = F.slice(F.zip_with(h, tail(h, 1), lambda a, b: bucket(F.xxhash64(a, b)) + BUCKETS), 1, F.greatest(F.size(h) - 1, F.lit(0)))
@@ -75,8 +80,10 @@ def weights(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED) -> list[fl
     ids = trusted_ids(trusted, most)
     rows = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(ids), F.col("doc_id") == F.col("_trusted"), "left")
     rows = rows.select("w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.col("_trusted").isNotNull().cast("int").alias("own"))
-    counts = rows.select("own", F.explode(grams(F.col("w"), F.col("h"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("own").alias("target"))
-    found = counts.collect()
+    # explode_outer: below explode Spark would put a filter on the array's size, that makes all n-grams a second time.
+    each = rows.select("own", grams(F.col("w"), F.col("h")).alias("g")).select("own", F.explode_outer("g").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("own").alias("target"))
+    found = [r for r in counts.collect() if r.bucket is not None]  # null: of texts without words
     raw, target = {r.bucket: r.raw for r in found}, {r.bucket: r.target for r in found}
     out = []
     for part in (range(i * BUCKETS, (i + 1) * BUCKETS) for i in range(FAMILIES)):
@@ -86,10 +93,13 @@ def weights(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED) -> list[fl
     return out if sum(target.values()) else None
 
 
-def repeated(g: Column) -> Column:
-    """Words in windows whose hash, in g, occurs more than once."""
-    size = F.size(g)
-    packed = F.sort_array(F.transform(g, lambda x, i: F.shiftleft(F.shiftright(x, SHIFT), SHIFT).bitwiseOR(i.cast("long"))))
+def placed(g: Column) -> Column:
+    """Hashes in order, each with its position in its lowest bits. A column of its own, so that the sort is one of primitives, in generated code."""
+    return F.sort_array(F.transform(g, lambda x, i: F.shiftleft(F.shiftright(x, SHIFT), SHIFT).bitwiseOR(i.cast("long"))))
+
+
+def repeated(g: Column, packed: Column) -> Column:
+    """Words in windows whose hash, in g (and placed in packed), occurs more than once."""
     at = lambda x: x.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
     neighbours = lambda s, hit: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), hit)
 
@@ -110,7 +120,8 @@ def repeated(g: Column) -> Column:
         lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return F.when(size < 2, F.lit(0).cast("long")).otherwise(covered)
+    # Most texts repeat nothing, and one pass says so.
+    return F.when((F.size(g) < 2) | (F.size(F.array_distinct(g)) == F.size(g)), F.lit(0).cast("long")).otherwise(covered)
 
 
 def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED) -> DataFrame:
@@ -118,32 +129,31 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, mos
     ours = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ours])
     table_ = weights(docs, trusted, most)
-    w, h, g = fresh(docs, "_w", "_h", "_g")
+    w, h, two, three, at = fresh(docs, "_w", "_h", "_two", "_three", "_at")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn(w, words(F.col("text"))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
-    windows = F.slice(F.zip_with(F.zip_with(h, tail(F.col(h), 1), lambda a, b: F.xxhash64(a, b)), tail(F.col(h), 2), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - 2, F.lit(0)))
-    out = out.withColumn(g, windows)
+    out = out.withColumn(two, joined(F.col(h), F.col(h), 1)).withColumn(three, joined(F.col(two), F.col(h), 2))
+    out = out.withColumn(at, placed(F.col(three)))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     out = out.select(
         *docs.columns,
         F.size(w).cast("long").alias("n_words"),
-        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        repeated(F.col(g)).alias("n_repeat_words"),
-        (_score(table_, F.col(w), F.col(h)) if table_ else F.lit(0.0)).alias("llr"),
+        repeated(F.col(three), F.col(at)).alias("n_repeat_words"),
+        (_score(table_, F.col(w), F.col(h), F.col(two)) if table_ else F.lit(0.0)).alias("llr"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def _score(table_: list[float], w: Column, h: Column) -> Column:
+def _score(table_: list[float], w: Column, h: Column, two: Column) -> Column:
     """Mean weight of a row's n-grams, those of grams(w, h), each looked up where it is hashed."""
     word, pair, end = (F.split(F.lit(",".join(map(str, table_[i * BUCKETS : (i + 1) * BUCKETS]))), ",").cast("array<double>") for i in range(FAMILIES))
     total = F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(word, bucket(x)))
     total = F.aggregate(w, total, lambda acc, x: acc + F.get(end, bucket(ending(x))))
-    pairs = F.slice(F.zip_with(h, tail(h, 1), lambda a, b: F.get(pair, bucket(F.xxhash64(a, b)))), 1, F.greatest(F.size(h) - 1, F.lit(0)))
-    total = F.aggregate(pairs, total, lambda acc, x: acc + x)
+    total = F.aggregate(two, total, lambda acc, x: acc + F.get(pair, bucket(x)))
     return F.round(total / F.greatest(3 * F.size(w) - 1, F.lit(1)), 9)
 
 

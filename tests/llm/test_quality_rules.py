@@ -47,3 +47,10 @@ def test_empty_table_and_no_trusted_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert {r.llr for r in quality_rules.rules(docs, none).collect()} == {0.0}
     assert quality_rules.rules(docs.limit(0), none).count() == 0
+
+
+def test_trusted_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, ""), (2, "some words of a text"), (3, None)], "doc_id long, text string")
+    for trusted in ([(1,), (3,)], [(2,)]):
+        found = quality_rules.weights(docs, spark.createDataFrame(trusted, "doc_id long"))
+        assert (found is None) == (trusted[0] == (1,))
