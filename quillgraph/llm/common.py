@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,12 +91,25 @@ def unpacked(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def released(run):
+    """run, and then what it freed goes back to the system: workers outlive their task, and allocators keep free memory."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow in batches of 1,000 rows, where the session has no number of its own: texts may be long, and workers are small."""
     conf = df.sparkSession.conf
     if conf.get(_ROWS) == "10000":  # Spark's default
         conf.set(_ROWS, "1000")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 #: Bits of the map that tells which keys a table can't hold.
