@@ -10,7 +10,8 @@ are ordered by key, so a reader finds the shard among their first keys.
 
 Writing: documents are range-partitioned by key, each partition streams its ids into one
 shard of a unique name, and only names that tasks return count (a lost task leaves an orphan, not
-a double). A shard's ids are never held whole; its keys and counts (16 bytes a document) and its index
+a double). They return to the driver, a row for each shard, which writes the manifest as one file: Hadoop's local
+file system starts a process for each file and folder that a task makes, and a JVM that does so stands in memory twice for a moment. A shard's ids are never held whole; its keys and counts (16 bytes a document) and its index
 (some 100 bytes a document while it is built) are. There are as many shards as the range partitioning makes, so
 `spark.sql.shuffle.partitions` bounds a shard's size.
 
@@ -31,6 +32,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -229,6 +231,10 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
     """Writes docs' ids as shards in folder; returns the manifest (a row for each shard), which is written there too."""
     with open(path or public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
         spec = f.read()
+    store, top = opened(f"{folder}/manifest")
+    if store.get_file_info(top).type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{folder} has shards already")
+    names = pa.schema([("name", pa.string())] + [(k, pa.int64()) for k in MANIFEST.names[1:]])
 
     def run(batches):
         own, fs, out = None, None, None
@@ -259,11 +265,14 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, key: str
         foot = b"".join([keys.tobytes(), offsets.tobytes(), index.d.astype("<i4").tobytes(), index.prints.astype("<u4").tobytes(), index.records.astype("<u4").tobytes()])
         out.write(foot + struct.pack(_HEADER, _MAGIC, own.type.itemsize, nulls, len(keys), len(new), len(index.d), int(offsets[-1]), zlib.crc32(foot)))
         out.close()
-        yield pa.RecordBatch.from_pylist([{"name": name, "first_key": int(keys[nulls]) if nulls < len(keys) else None, "last_key": int(keys[-1]) if nulls < len(keys) else None, "n_docs": len(keys), "n_tokens": int(offsets[-1])}], schema=pa.schema([("name", pa.string())] + [(k, pa.int64()) for k in MANIFEST.names[1:]]))
+        yield pa.RecordBatch.from_pylist([{"name": name, "first_key": int(keys[nulls]) if nulls < len(keys) else None, "last_key": int(keys[-1]) if nulls < len(keys) else None, "n_docs": len(keys), "n_tokens": int(offsets[-1])}], schema=names)
 
     # Keys first, so that sampling for the ranges reads no texts' ids; ties by text, so that reruns agree.
     ranged = docs.select(F.col(key).cast("long").alias("_key"), "text").repartitionByRange("_key").sortWithinPartitions("_key", "text")
-    mapped(ranged, run, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows = [r.asDict() for r in mapped(ranged, run, MANIFEST).collect()]
+    store.create_dir(top, recursive=True)
+    with store.open_output_stream(f"{top}/part-0.parquet") as f:
+        pq.write_table(pa.Table.from_pylist(rows, schema=names), f)
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

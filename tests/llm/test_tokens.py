@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -71,6 +72,16 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read_shards(spark, f"{folder}-none").count() == 0
 
 
+def test_tasks_write_nothing_but_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word {i}", None) for i in range(400)], DOCS).repartition(4)
+    found = token_files.write_shards(docs, f"file://{tmp_path}/shards")
+    assert [p.name for p in (tmp_path / "shards" / "manifest").iterdir()] == ["part-0.parquet"]
+    shards = {p.name for p in (tmp_path / "shards").glob("shard-*")}
+    assert {r.name for r in found.collect()} == shards and sum(r.n_docs for r in found.collect()) == 400
+    with pytest.raises(FileExistsError):
+        token_files.write_shards(docs, f"file://{tmp_path}/shards")
+
+
 def test_perfect_hash_is_minimal_and_refuses():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 60), 1 << 60, 20_000))
     index = token_files.PerfectHash.build(keys, np.arange(len(keys)))
