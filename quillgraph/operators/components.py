@@ -4,17 +4,31 @@ from __future__ import annotations
 
 import random
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written to shared storage and read back, and where it lies.
+
+    What is read has the size of its files. DataFrame.checkpoint() keeps the optimizer's estimate instead, for joins the product of both sides: in a loop its digits multiply each round, until the driver has no memory for the number.
+    """
+    spark = df.sparkSession
+    path = f"{(spark.sparkContext.getCheckpointDir() or shared_base(spark)).rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
+    return written(df)[0]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -25,6 +39,17 @@ def shared_base(spark: SparkSession) -> str:
     return base or tempfile.mkdtemp(prefix="quillgraph-")
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its rows' numbers, from 0, by order: a distributed sort, and one offset for each of its partitions."""
+    rows = checkpointed(checkpointed(df).orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+    part, at = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    starts, before = [], 0
+    for r in sorted(rows.groupBy(part.alias("p")).count().collect()):
+        starts += [F.lit(r.p), F.lit(before)]
+        before += r["count"]
+    return rows.withColumn(name, (F.element_at(F.create_map(*starts), part) + at).cast("long")) if starts else rows
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable over pairs (a, b)."""
     links = checkpointed(pairs.select("a", "b").unionAll(pairs.select("b", "a")).distinct())
@@ -42,27 +67,34 @@ def components(pairs: DataFrame) -> DataFrame:
 def vote(adj: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, label): one synchronous round; a node moves only to a strictly heavier label, the smallest on ties."""
     votes = adj.join(labels.select(F.col("key").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("key"), "label").agg(F.round(F.sum("w"), 9).alias("w"))
-    best = votes.groupBy("key").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"), F.max("w").alias("top"))
-    own = votes.select("key", "label", F.col("w").alias("mine"))
-    out = labels.join(best, "key", "left").join(own, ["key", "label"], "left")
+    own = votes.join(labels.select("key", F.col("label").alias("own")), "key")
+    best = own.groupBy("key").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"), F.max("w").alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("w"))).alias("mine"))
+    out = labels.join(best, "key", "left")
     return out.select("key", F.when(F.col("top") > F.coalesce("mine", F.lit(0.0)), F.col("best")).otherwise(F.col("label")).alias("label"))
 
 
 def propagate(adj: DataFrame, labels: DataFrame, sweeps: int = 20) -> DataFrame:
     """Synchronous label propagation, half of the nodes (by hash) in each round, so that pairs don't swap for ever.
 
-    Two rounds are a sweep over all nodes; it ends when two rounds in a row, one of each half, change nothing.
+    Two rounds are a sweep over all nodes; it ends when two rounds in a row, one of each half, change nothing. Rounds work on numbers of nodes, and on the links of the half that moves.
     """
-    half = F.pmod(F.xxhash64("key"), F.lit(2))
-    adj, labels, calm = checkpointed(adj), checkpointed(labels), 0
+    spark, half = adj.sparkSession, F.pmod(F.xxhash64("key"), F.lit(2))
+    nodes = checkpointed(numbered(labels.select("key", "label"), "id", "key").withColumn("half", half))
+    own = lambda s: nodes.select(F.col("key").alias(s), F.col("id").alias(f"{s}_id"), F.col("half").alias(f"{s}_half"))
+    links = adj.join(own("src"), "src").join(own("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "w", "src_half")
+    links = checkpointed(links)
+    halves = [checkpointed(links.where(F.col("src_half") == i).drop("src_half")) for i in range(2)]
+    now, calm, path = nodes.select(F.col("id").alias("key"), "label"), 0, None
     for i in range(2 * sweeps):
-        new = vote(adj, labels).withColumnRenamed("label", "new")
-        step = checkpointed(labels.join(new, "key").select("key", F.when(half == i % 2, F.col("new")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
-        labels = step.drop("was")
+        new = vote(halves[i % 2], now).withColumnRenamed("label", "new")
+        step, at = written(now.join(new, "key").select("key", F.col("new").alias("label"), F.col("label").alias("was")))
+        if path:
+            deleted(spark, path)
+        now, path = step.drop("was"), at
         calm = calm + 1 if step.where("label <> was").isEmpty() else 0
         if calm == 2:
             break
-    return labels
+    return nodes.select("key", "id").join(now.withColumnRenamed("key", "id"), "id").select("key", "label")
 
 
 def propagate_in_order(adj: DataFrame, order: DataFrame, seed: int = 42, rounds: int = 20) -> DataFrame:
