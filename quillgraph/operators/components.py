@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import tempfile
 import uuid
+from array import array
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,30 +100,44 @@ def propagate(adj: DataFrame, labels: DataFrame, sweeps: int = 20) -> DataFrame:
 
 
 def propagate_in_order(adj: DataFrame, order: DataFrame, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """Asynchronous label propagation over nodes shuffled anew each round: inherently one task, for graphs that fit it."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["seq", "src", "dst"])
-        near: dict[str, list[tuple[str, float]]] = {}
-        for src, dst, w in zip(frame["src"], frame["dst"], frame["w"], strict=True):
-            near.setdefault(src, []).append((dst, w))
-        label = {k: i for i, k in enumerate(near)}
-        rng = random.Random(seed)
+    """Asynchronous label propagation over nodes shuffled anew each round: inherently one task, which holds 12 bytes for each row of adj and some 30 for each node.
+
+    Nodes are numbered and rows joined and sorted outside of it; it takes rows in order, batch by batch, as numbers.
+    """
+    nodes = numbered(order.select("key", "node_seq").join(adj.select(F.col("src").alias("key")).distinct(), "key", "left_semi"), "id", "node_seq", "key")
+    nodes = checkpointed(numbered(nodes, "rank", "key"))
+    src, dst = nodes.select(F.col("key").alias("src"), F.col("id").cast("int").alias("s")), nodes.select(F.col("key").alias("dst"), F.col("id").cast("int").alias("d"), F.col("rank").cast("int").alias("rank"))
+    rows = checkpointed(adj.join(src, "src").join(dst, "dst").select("s", "d", "rank", F.col("w").cast("double").alias("w")))
+    n, m = nodes.count(), rows.count()
+
+    def run(batches):
+        start, near, weight, at = np.zeros(n + 1, np.int64), np.empty(m, np.int32), np.empty(m, np.float64), 0
+        for batch in batches:
+            some, counts = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            start[some + 1] += counts
+            near[at : at + batch.num_rows], weight[at : at + batch.num_rows] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            at += batch.num_rows
+        np.cumsum(start, out=start)
+        label, rng = np.arange(n), random.Random(seed)
         for _ in range(rounds):
-            keys = list(near)
+            keys = array("q", range(n))
             rng.shuffle(keys)
             moved = False
             for k in keys:
+                a, b = start[k], start[k + 1]
                 votes: dict[int, float] = {}
-                for other, w in near[k]:
-                    if other in label:
-                        votes[label[other]] = votes.get(label[other], 0.0) + w
-                best = min(votes, key=lambda x: (-votes[x], x))
-                if votes[best] > votes.get(label[k], 0.0):
-                    label[k], moved = best, True
+                for other, w in zip(label[near[a:b]].tolist(), weight[a:b].tolist(), strict=True):
+                    votes[other] = votes.get(other, 0.0) + w
+                if not votes:
+                    continue
+                top = max(votes.values())
+                if top > votes.get(int(label[k]), 0.0):
+                    label[k], moved = min(x for x, w in votes.items() if w == top), True
             if not moved:
                 break
-        return pd.DataFrame({"key": list(label), "label": list(label.values())})
+        for i in range(0, n, 10_000):
+            own = label[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(own))), pa.array(own)], names=["id", "label"])
 
-    rows = adj.join(order.select(F.col("key").alias("src"), F.col("node_seq").alias("seq")), "src")
-    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "key string, label long")
+    found = rows.repartition(1).sortWithinPartitions("s", "rank").select("s", "d", "w").mapInArrow(run, "id long, label long")
+    return found.join(nodes.select("id", "key"), "id").select("key", "label")

@@ -10,3 +10,14 @@ def test_a_tables_estimated_size_does_not_grow_with_rounds(spark):
     for _ in range(6):
         rows = components.checkpointed(rows.join(rows.withColumnRenamed("label", "new"), "key").select("key", F.least("label", "new").alias("label")))
     assert int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**6
+
+
+def test_propagation_in_order_takes_batches_of_numbers(spark):
+    """No group of all rows is handed over at once; a node without known neighbours keeps its label."""
+    adj = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c", "?", 1.0)], "src string, dst string, w double")
+    order = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "key string, node_seq long")
+    out = components.propagate_in_order(adj, order)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    got = {r.key: r.label for r in out.collect()}
+    assert got["a"] == got["b"] and got["c"] == 2
