@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import components
+from quillgraph.operators import components, graph
+from quillgraph.plans import queries
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_a_tables_estimated_size_does_not_grow_with_rounds(spark):
@@ -21,3 +24,24 @@ def test_propagation_in_order_takes_batches_of_numbers(spark):
     assert "FlatMapGroups" not in plan and "MapInArrow" in plan
     got = {r.key: r.label for r in out.collect()}
     assert got["a"] == got["b"] and got["c"] == 2
+
+
+def joins(df):
+    """The conditions of a plan's joins."""
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in f" {line}"]
+
+
+def test_no_join_deals_facts_by_relation_alone(spark):
+    """Two relations make up most facts: a join on them left half of all facts to one task."""
+    for run in (queries.kg_edges, queries.kg_edge_chunks, queries.evidence_chunks, queries.ranked_facts):
+        assert not [j for j in joins(run(spark, SMALL)) if "raw_relation" in j and "raw_head" not in j], run.__name__
+
+
+def test_a_mention_log_has_a_row_for_each_accepted_fact(spark):
+    rows = [(1, "c1", "Acme", None, "Bolt", None, "x"), (2, "c1", "Acme", "", "Bolt", "y", None), (3, None, "ACME", " ", "Bolt", None, None), (4, "c2", None, "HAS", "Bolt", None, None), (5, "c2", "Ann Lee and Bob Ray", "KNOWS", "Bolt", None, None)]
+    facts = spark.createDataFrame(rows, "seq long, chunk_id string, head string, relation string, tail string, head_type string, tail_type string")
+    got = sorted((r.seq, r.head, r.relation, r.head_name) for r in graph.mention_log(facts).collect())
+    assert got == [(256, "acme", "RELATED_TO", "Acme"), (512, "acme", "RELATED_TO", "Acme"), (768, "acme", "RELATED_TO", "ACME"), (1280, "ann lee", "KNOWS", "Ann Lee"), (1296, "bob ray", "KNOWS", "Bob Ray")]
+    own = graph.mentions(facts)
+    some = graph.edge_counts(own).where("relation = 'RELATED_TO'")
+    assert sorted(str(r.chunk_id) for r in graph.edge_chunks(facts, own, some).collect()) == ["None", "c1"]
