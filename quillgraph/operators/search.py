@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import checkpointed
 
 #: Mentions that are matched with all nodes at once.
 BLOCK = 1000
@@ -51,6 +52,17 @@ def ranked(found: DataFrame, seeds: DataFrame, k: int = 40) -> DataFrame:
     return out.orderBy(F.col("touches").desc(), F.col("n_chunks").desc(), "edge_seq", "head", "relation", "tail").limit(k)
 
 
+def best_facts(edges: DataFrame, seeds: DataFrame, sizes, k: int = 40) -> DataFrame:
+    """ranked() of the edges within two hops; sizes gives the number of chunks, n_chunks, of some edges.
+
+    All edges that touch a seed are within one hop, and rank first: where they are k or more the others can't be among the k, and their chunks aren't counted.
+    """
+    found = checkpointed(evidence(edges, seeds, 1))
+    if found.count() < k:
+        found = checkpointed(evidence(edges, seeds, 2))
+    return ranked(found.join(sizes(found), ["head", "relation", "tail"]), seeds, k)
+
+
 def outgoing_two_hops(edges: DataFrame, seed: str) -> DataFrame:
     """Edges at the seed, and those that leave its neighbours for other nodes."""
     near = edges.where((F.col("head") == seed) | (F.col("tail") == seed))

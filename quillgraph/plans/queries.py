@@ -316,8 +316,10 @@ def local_hop2(spark, sf_dir):
 
 @query(f"WITH {_HOPS} SELECT head, relation, tail, n_chunks, CAST((head = '{SEED}') AS INTEGER) + CAST((tail = '{SEED}') AS INTEGER) AS touches FROM found ORDER BY touches DESC, n_chunks DESC, edge_seq, head, relation, tail LIMIT 40")
 def ranked_facts(spark, sf_dir):
-    found = S.evidence(G.edge_sizes(log(spark, sf_dir)), seeds(spark), 2)
-    return S.ranked(found, seeds(spark)).select("head", "relation", "tail", "n_chunks", "touches")
+    rows = every_fact(spark, sf_dir)
+    own = G.mentions(rows)
+    sizes = lambda some: G.edge_chunks(rows, own, some).groupBy("head", "relation", "tail").agg(F.count("chunk_id").alias("n_chunks"))
+    return S.best_facts(G.edge_counts(own), seeds(spark), sizes).select("head", "relation", "tail", "n_chunks", "touches")
 
 
 @query(f"WITH {_HOPS} SELECT DISTINCT chunk_id FROM log JOIN one USING (head, relation, tail)")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import components, graph
+from quillgraph.operators import components, graph, search
 from quillgraph.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,3 +45,13 @@ def test_a_mention_log_has_a_row_for_each_accepted_fact(spark):
     own = graph.mentions(facts)
     some = graph.edge_counts(own).where("relation = 'RELATED_TO'")
     assert sorted(str(r.chunk_id) for r in graph.edge_chunks(facts, own, some).collect()) == ["None", "c1"]
+
+
+def test_chunks_are_counted_of_edges_that_can_rank(spark):
+    rows = [("s", "R", "a", 1, 0), ("b", "R", "s", 1, 1), ("a", "R", "c", 9, 2), ("c", "R", "d", 9, 3)]
+    edges = spark.createDataFrame(rows, "head string, relation string, tail string, n_chunks long, edge_seq long")
+    seeds, asked = spark.createDataFrame([("s",)], "key string"), []
+    sizes = lambda some: asked.append(some.count()) or edges.select("head", "relation", "tail", "n_chunks")
+    for k, want, counted in ((2, ["sRa", "bRs"], 2), (3, ["sRa", "bRs", "aRc"], 3)):
+        got = search.best_facts(edges.drop("n_chunks"), seeds, sizes, k).collect()
+        assert [r.head + r.relation + r.tail for r in got] == want and asked.pop() == counted
