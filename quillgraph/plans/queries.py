@@ -324,8 +324,9 @@ def ranked_facts(spark, sf_dir):
 
 @query(f"WITH {_HOPS} SELECT DISTINCT chunk_id FROM log JOIN one USING (head, relation, tail)")
 def evidence_chunks(spark, sf_dir):
-    own = log(spark, sf_dir)
-    return own.join(S.evidence(G.edge_counts(own), seeds(spark), 1), ["head", "relation", "tail"], "left_semi").select("chunk_id").distinct()
+    rows = every_fact(spark, sf_dir)
+    own = G.mentions(rows)
+    return G.edge_chunks(rows, own, S.evidence(G.edge_counts(own), seeds(spark), 1)).select("chunk_id").distinct()
 
 
 @query(f"""WITH e(head, relation, tail) AS (VALUES {_TOY}), n AS (SELECT * FROM e WHERE head = '{TOY_SEED}' OR tail = '{TOY_SEED}'), o AS (SELECT CASE WHEN head = '{TOY_SEED}' THEN tail ELSE head END AS head FROM n)
