@@ -15,7 +15,8 @@ BLOCK = 1000
 
 def link(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     """(mention, key): the node of the same key, else the most mentioned one that contains the mention's key or lies in it."""
-    exact = mentions.join(nodes.select("key", "mentions", "node_seq"), mentions.mention_key == nodes.key)
+    nodes = checkpointed(nodes.select("key", "mentions", "node_seq"))
+    exact = mentions.join(nodes, mentions.mention_key == nodes.key)
     rest = mentions.join(exact.select("mention").distinct(), "mention", "left_anti")
     rest = rest.where("mention_key <> ''")
     # Mentions come from a question and are few; more of them are taken block by block, so that no broadcast is larger than BLOCK rows or so.
@@ -23,7 +24,7 @@ def link(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     both = exact.select("mention", "key", "mentions", "node_seq")
     for i in range(blocks):
         some = F.broadcast(rest.where(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == i))
-        near = nodes.select("key", "mentions", "node_seq").where("key <> ''").join(some, F.col("key").contains(F.col("mention_key")) | F.col("mention_key").contains(F.col("key")))
+        near = nodes.where("key <> ''").join(some, F.col("key").contains(F.col("mention_key")) | F.col("mention_key").contains(F.col("key")))
         both = both.unionByName(near.select("mention", "key", "mentions", "node_seq"))
     return both.groupBy("mention").agg(F.max_by("key", F.struct("mentions", -F.col("node_seq"))).alias("key"))
 

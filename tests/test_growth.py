@@ -55,3 +55,13 @@ def test_chunks_are_counted_of_edges_that_can_rank(spark):
     for k, want, counted in ((2, ["sRa", "bRs"], 2), (3, ["sRa", "bRs", "aRc"], 3)):
         got = search.best_facts(edges.drop("n_chunks"), seeds, sizes, k).collect()
         assert [r.head + r.relation + r.tail for r in got] == want and asked.pop() == counted
+
+
+def test_facts_are_aggregated_once(spark, monkeypatch):
+    """What follows blocking or linking reads written tables: facts are extracted once for a query, and the plan left holds no table of theirs."""
+    every, seen = queries.every_fact, []
+    monkeypatch.setattr(queries, "every_fact", lambda *a: seen.append(a) or every(*a))
+    for run in (queries.link_entities, queries.canonical_pick, queries.merged_edges, queries.llm_batches):
+        seen.clear()
+        plan = run(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(seen) == 1 and "l_suppkey" not in plan, run.__name__
