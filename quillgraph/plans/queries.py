@@ -47,7 +47,7 @@ def log(spark, sf_dir):
 
 
 def graph(spark, sf_dir):
-    """Nodes and edges, both from the distinct facts with their numbers: that exchange is reused, and all that follows is small."""
+    """Nodes and edges, both from the distinct facts with their numbers, which are written once; all that follows is small."""
     own = G.mentions(every_fact(spark, sf_dir))
     return G.nodes(own), G.edge_counts(own)
 
@@ -188,8 +188,10 @@ def nominations(spark, sf_dir):
 
 
 def parts_of(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir)
-    return nodes, edges, C.components(R.nominations(nodes, edges, 0.65))
+    """Mentions, nodes and components; nodes are written once, for blocking and for what follows the components."""
+    own = G.mentions(every_fact(spark, sf_dir))
+    nodes = C.checkpointed(G.nodes(own))
+    return own, nodes, C.components(R.nominations(nodes, G.edge_counts(own), 0.65))
 
 
 @query(f"WITH {Q.COMPONENTS} SELECT key, component FROM parts")
@@ -199,13 +201,13 @@ def merge_components(spark, sf_dir):
 
 @query(f"WITH {Q.COMPONENTS} SELECT component, CAST((row_number() OVER (PARTITION BY component ORDER BY mentions DESC, node_seq) - 1) // 15 AS INTEGER) AS batch, key FROM parts JOIN nodes USING (key)")
 def llm_batches(spark, sf_dir):
-    nodes, _, parts = parts_of(spark, sf_dir)
+    _, nodes, parts = parts_of(spark, sf_dir)
     return R.batches(parts, nodes).select("component", "batch", "key")
 
 
 @query(f"WITH {Q.COMPONENTS} SELECT component AS \"group\", first(key ORDER BY mentions DESC, length(display) DESC, node_seq) AS canon FROM parts JOIN nodes USING (key) GROUP BY component")
 def canonical_pick(spark, sf_dir):
-    nodes, _, parts = parts_of(spark, sf_dir)
+    _, nodes, parts = parts_of(spark, sf_dir)
     own = parts.join(nodes.select("key", "mentions", "display", "node_seq"), "key")
     return own.groupBy(F.col("component").alias("group")).agg(F.max_by("key", F.struct("mentions", F.length("display"), -F.col("node_seq"))).alias("canon"))
 
@@ -213,9 +215,9 @@ def canonical_pick(spark, sf_dir):
 @query(f"""WITH {Q.COMPONENTS}, canon AS (SELECT component, first(key ORDER BY mentions DESC, length(display) DESC, node_seq) AS canon FROM parts JOIN nodes USING (key) GROUP BY component),
 m AS (SELECT key, canon FROM parts JOIN canon USING (component)) SELECT coalesce(h.canon, head) AS head, relation, coalesce(t.canon, tail) AS tail, count(*) AS mentions FROM log LEFT JOIN m h ON head = h.key LEFT JOIN m t ON tail = t.key GROUP BY ALL""")
 def merged_edges(spark, sf_dir):
-    nodes, _, parts = parts_of(spark, sf_dir)
+    log_, nodes, parts = parts_of(spark, sf_dir)
     key_map = R.canonical(parts.select(F.col("component").alias("group"), "key"), nodes)
-    return G.edge_counts(R.renamed(G.mentions(every_fact(spark, sf_dir)), key_map)).drop("edge_seq")
+    return G.edge_counts(R.renamed(log_, key_map)).drop("edge_seq")
 
 
 @query(f"""WITH {Q.GRAPH}, e AS (SELECT head AS key, edge_seq, relation, tail AS other, relation || ' -> ' || n.display AS line FROM edges JOIN nodes n ON tail = n.key
