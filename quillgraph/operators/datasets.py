@@ -65,9 +65,15 @@ def annotated_entities(rows: DataFrame) -> DataFrame:
 
 def builder_stats(rows: DataFrame, missing: int = 0) -> DataFrame:
     """(rows, missing_chunk, mentions, found, dropped, drop_rate) of rows (chunk_id, text, entities): an entity is dropped if its text doesn't hold it."""
-    hits = annotated_entities(rows).agg(F.count("*").alias("mentions"), F.coalesce(F.sum((F.size("spans") == 0).cast("long")), F.lit(0)).alias("dropped"))
+    each = rows.select("text", F.posexplode_outer("entities").alias("i", "e")).select("text", "i", F.coalesce("e.name", F.lit("")).alias("name"))
+    exact = F.coalesce(F.contains("text", "name"), F.lit(False))
+    # Rows are counted in the same pass, and no text goes to Python for a name that it holds as it is.
+    left = (F.col("name") != "") & ~exact
+    held = (F.col("name") != "") & (exact | (F.size(find_spans(F.when(left, F.col("text")), F.when(left, F.col("name")))) > 0))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    hits = each.agg(count(F.coalesce(F.col("i"), F.lit(0)) == 0).alias("rows"), F.count("i").alias("mentions"), count(F.col("i").isNotNull() & ~held).alias("dropped"))
     rate = F.when(F.col("mentions") > 0, F.round(F.col("dropped") / F.col("mentions"), 4)).otherwise(0.0)
-    return hits.select(F.lit(rows.count()).cast("long").alias("rows"), F.lit(missing).cast("long").alias("missing_chunk"), "mentions", (F.col("mentions") - F.col("dropped")).alias("found"), "dropped", rate.alias("drop_rate"))
+    return hits.select("rows", F.lit(missing).cast("long").alias("missing_chunk"), "mentions", (F.col("mentions") - F.col("dropped")).alias("found"), "dropped", rate.alias("drop_rate"))
 
 
 def types_of(rows: DataFrame) -> DataFrame:

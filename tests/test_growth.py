@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import components, graph, search
+from quillgraph.functions import text
+from quillgraph.operators import components, datasets, graph, search
 from quillgraph.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,3 +66,15 @@ def test_facts_are_aggregated_once(spark, monkeypatch):
         seen.clear()
         plan = run(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert len(seen) == 1 and "l_suppkey" not in plan, run.__name__
+
+
+def test_builder_stats_judge_a_window_only_where_its_words_are(spark, monkeypatch):
+    rows = [(1, "Ann met The Café Müller of Rome", ["Ann", "cafe muller", "Zzyzx", "", None]), (2, None, ["Ann"]), (3, "Rome", []), (4, "Rome", None), (5, "a - b", ["the", "-!"])]
+    df = spark.createDataFrame([(i, t, None if e is None else [(n, "x") for n in e]) for i, t, e in rows], "chunk_id int, text string, entities array<struct<name:string,type:string>>")
+    got = datasets.builder_stats(df, 2).first()
+    assert tuple(got) == (5, 2, 8, 4, 4, 0.5)
+    assert datasets.builder_stats(df.limit(0)).first().mentions == 0
+    made, whole = [], text.plain_key
+    monkeypatch.setattr(text, "plain_key", lambda x: made.append(x) or whole(x))
+    assert text.spans_of("one two three " * 100, "Zzyzx") == [] and made == ["Zzyzx"]
+    assert text.spans_of("met Cafe  Muller", "CAFÉ MÜLLER") == [(4, 16)]
